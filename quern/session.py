@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application; they need no path to it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).parent
+        folder = tempfile.mkdtemp(prefix="quern-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/quern", "zip", package.parent, package.name))
+        _shipped.add(app)
