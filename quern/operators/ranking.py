@@ -43,3 +43,24 @@ def group_ranks(df: DataFrame, group: list[str], order: list[Column], rank: str
     if size:
         out = out.withColumn(size, F.col("_size"))
     return out.drop("_part", "_place", "_before", "_size", "_o_part", *[f"_o_{g}" for g in group])
+
+
+def group_cdf(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group columns, value, below, upto, size): for each value of a group, exactly how many rows are less, and at most it.
+
+    Equal values are counted first; the distinct ones are range-partitioned and summed up within partitions, and the
+    totals of earlier partitions are added. Rows with a null value don't count. Group columns must not be null.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    parts = range_partitioned(counted, [*(F.col(g) for g in group), F.col(value)], "_part")
+    whole = Window.partitionBy(*group)
+    offsets = (
+        parts.groupBy(*group, "_part")
+        .agg(F.sum("_n").alias("_m"))
+        .withColumn("_before", F.coalesce(F.sum("_m").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("size", F.sum("_m").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .drop("_m")
+    )
+    inside = F.sum("_n").over(Window.partitionBy(*group, "_part").orderBy(value))
+    placed = parts.withColumn("_upto", inside).join(offsets, [*group, "_part"])
+    return placed.select(*group, value, (F.col("_before") + F.col("_upto") - F.col("_n")).alias("below"), (F.col("_before") + F.col("_upto")).alias("upto"), "size")
