@@ -30,6 +30,8 @@ LINE_SWAPS = [(w, r) for w in ("latin-1", "cp1252") for r in ("gb18030", "big5",
 LINE_SWAPS += [("gb18030", "big5"), ("gb18030", "euc_jp"), ("gb18030", "cp932"), ("big5", "gb18030"), ("cp932", "gb18030"), ("cp932", "euc_jp"), ("gb18030", "utf-8"), ("big5", "utf-8"), ("cp932", "utf-8"), ("euc_kr", "utf-8"), ("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"), ("cp1251", "utf-8"), ("cp437", "utf-8")]
 LOST = "�"
 RUN = re.compile("[^\x00-\x7f]+")
+FOUR = re.compile("[^\x00-\x7f]{4}")
+WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
 CONTROL = re.compile("[\x80-\x9f]")
 SHIFT = 21  # bits of a code point
 
@@ -165,14 +167,15 @@ def _suspicious(lm: Language, text: str) -> Iterator[tuple]:
             continue
         if LOST in line:
             yield no, "lost", 1e3, line, None
-        c = _points(line)
-        odd = c > 127
-        n_odd = int(odd.sum())
-        wide = _wide(c)
-        n_wide = int(wide.sum())
-        level = float(lm.single[c[wide]].mean()) if n_wide else 0.0
-        if not (n_odd - n_wide and not lm.common[c[odd & ~wide]].all()) and n_wide * 2 > n_odd and level > -9.5:
-            continue  # common characters of a wide script
+        n_odd = n_wide = 0
+        if WIDE.search(line):
+            c = _points(line)
+            odd = c > 127
+            wide = _wide(c)
+            n_odd, n_wide = int(odd.sum()), int(wide.sum())
+            level = float(lm.single[c[wide]].mean())
+            if n_wide * 2 > n_odd and level > -9.5 and lm.common[c[odd & ~wide]].all():
+                continue  # common characters of a wide script
         found: dict[str, float] = {}
         if n_wide * 2 <= n_odd:
             for m in RUN.finditer(line):
@@ -186,7 +189,8 @@ def _suspicious(lm: Language, text: str) -> Iterator[tuple]:
                         if gain > 0:
                             found[swap] = found.get(swap, 0.0) + gain
                             yield no, swap, gain, piece, restored
-        if n_odd >= 4 and (n_wide * 2 > n_odd or 3 * n_odd > len(line) or re.search("[^\x00-\x7f]{4}", line)):
+        if n_wide * 2 > n_odd >= 4 or FOUR.search(line):
+            n_odd = n_odd or len(line) - len(line.encode("ascii", "ignore"))
             now = lm.flat(line)
             ways = [(lm.flat(restored) - now, swap, restored) for swap, restored in _line_ways(line)]
             if ways and (best := max(ways))[0] > 2.0 * n_odd ** 0.5:

@@ -16,6 +16,7 @@ from quern.session import cut, read
 
 ORDER, BITS = 3, 21
 DISCOUNT = 0.75
+NARROW = 160  # characters with a direct table
 #: Bounds of the training sample: texts of each label, taken by hash; the models' size follows from them.
 TEXTS_PER_LANGUAGE = 400
 FENCE = "```"
@@ -112,6 +113,18 @@ class Models:
         self.back[0][:, j], self.back[1][:, j] = np.log(np.maximum(lam2, 1e-9)), np.log(np.maximum(lam1, 1e-9))
         self.floor = -14.0
 
+    def index(self) -> None:
+        """A direct table from windows of the most frequent narrow characters to places in the sorted array: most text needs no search."""
+        narrow = self.keys[2][self.keys[2] < 0x250][: NARROW - 1].astype(np.int64)
+        self.small = np.zeros(0x110000, dtype=np.uint32)
+        self.small[narrow] = np.arange(1, len(narrow) + 1)
+        self.direct = np.full(NARROW**3, -1, dtype=np.int32)
+        low = np.uint64((1 << BITS) - 1)
+        parts = [self.small[((self.keys[0] >> np.uint64(k * BITS)) & low).astype(np.int64)].astype(np.int64) for k in (2, 1, 0)]
+        inside = (parts[0] > 0) & (parts[1] > 0) & (parts[2] > 0)
+        cell = (parts[0] * NARROW + parts[1]) * NARROW + parts[2]
+        self.direct[cell[inside]] = np.nonzero(inside)[0]
+
     def calibrate(self, texts: list[tuple[str, str]]) -> None:
         """Mean and spread of the cross-entropy of each language's own paragraphs: what is far above is rejected."""
         ce = {lang: [] for lang in self.langs}
@@ -124,9 +137,21 @@ class Models:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return at, table[at] == keys
 
-    def logs(self, grams: np.ndarray) -> np.ndarray:
+    def _places(self, codes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each window stands in the sorted array, and whether it does."""
+        s = self.small[codes]
+        cell = (s[:-2] * np.uint32(NARROW) + s[1:-1]) * np.uint32(NARROW) + s[2:]
+        at = self.direct[cell]
+        other = np.nonzero((s[:-2] == 0) | (s[1:-1] == 0) | (s[2:] == 0))[0]
+        if len(other):
+            found, seen = self._find(self.keys[0], grams[other])
+            at[other] = np.where(seen, found, -1)
+        return at, at >= 0
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
         """log P of each window's last character, for all languages; unseen windows back off."""
-        at, seen = self._find(self.keys[0], grams)
+        grams = _packed(codes)
+        at, seen = self._places(codes, grams)
         out = self.values[0][at]
         miss = np.nonzero(~seen)[0]
         if len(miss):
@@ -148,11 +173,19 @@ class Models:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Mean log-likelihood of each text under each language."""
-        grams = [_packed(_codes(t)) for t in texts]
-        n = np.array([len(g) for g in grams])
-        logs = self.logs(np.concatenate(grams))
-        sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
-        return sums / n[:, None]
+        if not hasattr(self, "direct"):
+            self.index()
+        codes = [_codes(t) for t in texts]
+        ends = np.cumsum([len(c) for c in codes])
+        starts = np.concatenate([[0], ends[:-1]])
+        logs = self.logs(np.concatenate(codes))
+        # windows over the boundary of two texts belong to none
+        both = np.stack([starts, ends - 2], axis=1).ravel()
+        sums = np.add.reduceat(np.concatenate([logs, np.zeros((2, logs.shape[1]), dtype=logs.dtype)]), both, axis=0)[::2]
+        return sums / (ends - starts - 2)[:, None]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("direct", "small")}
 
     def classify(self, texts: list[str], scores: np.ndarray | None = None) -> list[tuple[str, float]]:
         """(language, confidence) of each text, none of them empty; "und" if no model or no single one fits.
