@@ -21,6 +21,7 @@ NARROW = 160  # characters with a direct table
 TEXTS_PER_LANGUAGE = 400
 FENCE = "```"
 PARAGRAPH = re.compile(r"\n[ \t\r　]*(?:\n[ \t\r　]*)+")
+TWO_LETTERS = re.compile(r"[^\W\d_].*?[^\W\d_]", re.S)
 _FOLD = np.arange(0x110000, dtype=np.uint32)
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
 
@@ -175,6 +176,15 @@ class Models:
         """Mean log-likelihood of each text under each language."""
         if not hasattr(self, "direct"):
             self.index()
+        out, start, size = [], 0, 0
+        for k, t in enumerate(texts):  # pieces that fit the processor's cache
+            size += len(t)
+            if size > 100_000 or k == len(texts) - 1:
+                out.append(self._piece(texts[start : k + 1]))
+                start, size = k + 1, 0
+        return np.concatenate(out)
+
+    def _piece(self, texts: list[str]) -> np.ndarray:
         codes = [_codes(t) for t in texts]
         ends = np.cumsum([len(c) for c in codes])
         starts = np.concatenate([[0], ends[:-1]])
@@ -263,7 +273,7 @@ def _segments(shared):
             for i, t in zip(df["id"], df["text"], strict=True):
                 start = len(texts)
                 for no, p, code in paragraphs(t or ""):
-                    if not code and sum(map(str.isalpha, p)) >= 2:
+                    if not code and TWO_LETTERS.search(p):
                         keys.append((i, no))
                         texts.append(p)
                 spans.append((start, len(texts)))
