@@ -71,10 +71,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
-    """How many parents of each batch and site stay, and their mean quality."""
+    """How many parents of each batch and site stay, and the sum of their quality in millionths (whole numbers, so that it has no rounding ties)."""
     records = _records(spark, d)
     kept = capped(records, group="batch_no", contributor="site", share=20).where("kept")
-    return records.join(kept, "id", "left_semi").groupBy("batch_no", "site").agg(F.count("*").alias("kept"), F.round(F.avg("quality"), 6).alias("quality"))
+    return records.join(kept, "id", "left_semi").groupBy("batch_no", "site").agg(F.count("*").alias("kept"), F.sum(F.round(F.col("quality") * 1_000_000).cast("long")).alias("quality"))
 
 
 def p7_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ def _sql() -> dict[str, str]:
     r = _RANK.format(site=SITE_SQL)
     return {
         "p7_found": r + "SELECT id FROM r WHERE rank > greatest(1, n // 20)",
-        "p7_kept": r + "SELECT batch_no, site, count(*) AS kept, round(avg(quality), 6) AS quality FROM r WHERE rank <= greatest(1, n // 20) GROUP BY batch_no, site",
+        "p7_kept": r + "SELECT batch_no, site, count(*) AS kept, CAST(sum(CAST(round(quality * 1000000) AS BIGINT)) AS BIGINT) AS quality FROM r WHERE rank <= greatest(1, n // 20) GROUP BY batch_no, site",
     }
 
 
