@@ -25,10 +25,10 @@ def suitor_matching(proposals: DataFrame, capacities: DataFrame) -> DataFrame:
 
     Ranks are range-partitioned, so a contributor with a third of all records is no single task. Nulls: a null
     contributor is a contributor; one without a capacity takes nothing. Repeated (record, contributor) rows count
-    once. Empty input gives an empty result.
+    once; rows without record take no part. Empty input gives an empty result.
     """
     order = [F.col("weight").desc_nulls_last(), F.col("record")]
-    live = proposals.select("record", "contributor", "weight").groupBy("record", "contributor").agg(F.max("weight").alias("weight"))
+    live = proposals.select("record", "contributor", "weight").where("record is not null").groupBy("record", "contributor").agg(F.max("weight").alias("weight"))
     caps = capacities.select(F.col("contributor").alias("_contributor"), F.col("capacity").cast("long").alias("_capacity"))
     decided, full = None, None
     while True:

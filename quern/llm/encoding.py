@@ -213,12 +213,13 @@ def pieces(docs: DataFrame) -> DataFrame:
     """(id, source, line_no, swap, gain, garbled, restored): every reading of a piece by which a cipher raises its likelihood.
 
     The model sent to the tasks has a row for each character, and for each pair of characters of which one isn't ASCII
-    and none is of a wide script: alphabets bound it, not the corpus.
+    and none is of a wide script: alphabets bound it, not the corpus. Rows without id have no pieces, and null and empty texts
+    have none; a null source is a source; repeated rows count once.
     """
     spark = docs.sparkSession
     counts = cut(learn(docs)).toPandas()
     model = spark.sparkContext.broadcast(Language(counts["pair"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=np.int64)))
-    return docs.select("id", "source", "text").mapInPandas(_pieces(model), PIECE)
+    return docs.select("id", "source", "text").where("id is not null").mapInPandas(_pieces(model), PIECE)
 
 
 #: Multi-byte sequences that are valid UTF-8 hardly arise in sound text; single letters that another code page explains do.
@@ -266,7 +267,7 @@ def restore(docs: DataFrame, solved: DataFrame) -> DataFrame:
     best = solved.where("restored is not null and share > 0.2").groupBy("id", "line_no", "garbled").agg(F.max(F.struct("share", "restored")).alias("m"))
     per = best.groupBy("id").agg(F.collect_list(F.struct("line_no", "garbled", F.col("m.restored").alias("restored"))).alias("pieces"))
     table = substitutions(solved).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("garbled", "restored"))).alias("table")).withColumnRenamed("source", "_s")
-    both = docs.join(found_ids(solved), "id").join(per, "id", "left").join(table, F.col("source").eqNullSafe(F.col("_s")), "left")
+    both = docs.select("id", "source", "text").join(found_ids(solved), "id").dropDuplicates(["id"]).join(per, "id", "left").join(table, F.col("source").eqNullSafe(F.col("_s")), "left")
     out = both.select("id", _rewrite("text", F.to_json("pieces"), F.to_json("table")).alias("text"))
     return out.withColumn("lost", F.length("text") - F.length(F.regexp_replace("text", LOST, "")))
 

@@ -232,17 +232,17 @@ def _told(models: Models, rows: list[tuple[str, str]], least: float) -> list[tup
     return [(lang, t) for (lang, c), (_, t) in zip(said, rows, strict=True) if lang != "und" and c >= least]
 
 
-def train(docs: DataFrame, *, per_language: int = TEXTS_PER_LANGUAGE) -> Models:
+def train(docs: DataFrame, *, per_language: int = TEXTS_PER_LANGUAGE) -> Models | None:
     """Models of the languages that label at least one text, trained on a bounded sample of labelled texts.
 
     Labels may be wrong, and texts mixed. First each half of the sample is told by models of the other half, as whole texts: a model
     that saw a wrongly labelled text would take it for its own. Models of the texts so told then tell the
-    paragraphs, and the final models are trained on those that have their text's language.
+    paragraphs, and the final models are trained on those that have their text's language. None if no labelled text has 40 characters.
     """
     texts = sorted((x["lang"], x["text"]) for x in sample(docs, per_language).toLocalIterator())
     whole = [(lang, body) for lang, t in texts if len(body := "\n\n".join(p for _, p, code in paragraphs(t) if not code)) >= 40]
     if not whole:
-        raise ValueError("no labelled text to train on")
+        return None
     halves = [whole[0::2], whole[1::2]]
     if min(map(len, halves)) == 0 or any({x for x, _ in h} != {x for x, _ in whole} for h in halves):
         told = whole
@@ -295,14 +295,17 @@ def _segments(shared):
     return run
 
 
-def segment_languages(docs: DataFrame, models: Models) -> DataFrame:
+def segment_languages(docs: DataFrame, models: Models | None) -> DataFrame:
     """(id, para_no, lang, confidence, chars, main, margin): a row for each paragraph that has letters and is no code.
 
     lang is "und" where the models reject; main is the language of most of the text's paragraphs; margin is by how
-    much a character is likelier, in nats, in lang than in main.
+    much a character is likelier, in nats, in lang than in main. Without models, and for rows without id, there are no rows;
+    repeated rows have theirs as often.
     """
+    if models is None:
+        return docs.sparkSession.createDataFrame([], SEGMENT)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.select("id", "text").mapInPandas(_segments(shared), SEGMENT)
+    return docs.select("id", "text").where("id is not null").mapInPandas(_segments(shared), SEGMENT)
 
 
 def document_languages(segments: DataFrame) -> DataFrame:
@@ -310,7 +313,7 @@ def document_languages(segments: DataFrame) -> DataFrame:
     return segments.where("main <> 'und'").groupBy("id", F.col("main").alias("lang")).agg(F.avg(F.when(F.col("lang") == F.col("main"), F.col("confidence"))).alias("confidence"))
 
 
-def language_errors(docs: DataFrame, models: Models, *, least: float = 0.9, least_margin: float = 1.0, least_chars: int = 8) -> DataFrame:
+def language_errors(docs: DataFrame, models: Models | None, *, least: float = 0.9, least_margin: float = 1.0, least_chars: int = 8) -> DataFrame:
     """(id, para_no, lang, confidence) of docs(id, lang, text).
 
     para_no 0: the label is missing or names another language than most paragraphs have; lang is the right one. para_no k:
@@ -325,7 +328,7 @@ def language_errors(docs: DataFrame, models: Models, *, least: float = 0.9, leas
 
 
 def _parents(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "chunks").where("is_parent and doc_version <> 'raw'").select("id", "lang", "text")
+    return read(spark, d, "chunks").where("is_parent and not doc_version <=> 'raw'").select("id", "lang", "text")
 
 
 def _errors(spark: SparkSession, d: str) -> DataFrame:

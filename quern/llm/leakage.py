@@ -82,11 +82,11 @@ def candidates(docs: DataFrame, items: DataFrame, *, rarest: float = 0.6, least:
 def aligned(docs: list[np.ndarray], items: list[np.ndarray], piece: list[int]) -> np.ndarray:
     """How many words of each item its document holds in order, by local alignment (Smith and Waterman) in several pieces.
 
-    All pairs are aligned at once, a document's word at a time. A cell holds its score times 4096 plus its matches.
+    All pairs are aligned at once, a document's word at a time. A cell holds its score times unit plus its matches.
     A new piece may start after the best cell above and to the left of it, for a fixed cost.
     """
-    unit = 4096
     n, m = max(map(len, docs)), max(map(len, items))
+    unit = 1 << max(12, m.bit_length())
     d = np.full((len(docs), n), 1, dtype=np.uint64)
     t = np.full((len(items), m), 2, dtype=np.uint64)
     for k, (x, y) in enumerate(zip(docs, items, strict=True)):
@@ -114,8 +114,11 @@ def _held(docs: pd.Series, items: pd.Series) -> pd.Series:
     out = np.zeros(len(docs))
     pairs = [(k, words(a), words(b)) for k, (a, b) in enumerate(zip(docs, items, strict=True))]
     pairs = sorted((x for x in pairs if x[1] and x[2]), key=lambda x: len(x[1]))
-    for s in range(0, len(pairs), 64):  # pairs of like length together
+    s = 0
+    while s < len(pairs):  # pairs of like length together, fewer where they are very long
         some = pairs[s : s + 64]
+        some = [x for k, x in enumerate(some) if k == 0 or (k + 1) * len(x[1]) <= 1 << 22]
+        s += len(some)
         got = aligned([hashed(a) for _, a, _ in some], [hashed(b) for _, _, b in some], [PIECE_IDEOGRAPHS if is_ideographic(b) else PIECE for _, _, b in some])
         for (k, _, b), n in zip(some, got, strict=True):
             out[k] = n / len(b)
@@ -126,12 +129,13 @@ def leaks(docs: DataFrame, items: DataFrame, *, share: float = 0.4) -> DataFrame
     """(doc_id, item_id, held): documents that hold at least share of an item's words in the item's order.
 
     docs(id, text), items(id, text). Case, punctuation, spacing and markup don't count. Null and empty texts hold
-    nothing; repeated ids count as one row each.
+    nothing; rows without id take no part; repeated ids count as one.
     """
+    docs, items = (x.select("id", "text").where("id is not null") for x in (docs, items))
     pairs = cut(candidates(docs, items))
     texts = docs.join(pairs.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("doc_id"), F.col("text").alias("td")), "doc_id").join(items.select(F.col("id").alias("item_id"), F.col("text").alias("ti")), "item_id")
-    return both.select("doc_id", "item_id", _held("td", "ti").alias("held")).where(F.col("held") >= share)
+    return both.select("doc_id", "item_id", _held("td", "ti").alias("held")).where(F.col("held") >= share).groupBy("doc_id", "item_id").agg(F.max("held").alias("held"))
 
 
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
