@@ -1,4 +1,4 @@
-"""Problem 8: evaluation passages inside training documents, by rare window seeds and local alignment."""
+"""Problem 8: evaluation passages inside training documents, by window seeds and local alignment."""
 
 from __future__ import annotations
 
@@ -13,70 +13,91 @@ from pyspark.sql import types as T
 from quern.llm.tokens import WordHash, grams, is_ideographic, words
 from quern.session import cut, read
 
-#: Test windows up to this number are sent to all tasks, to drop the documents' other windows early; beyond it, all are joined.
+#: Test windows up to this number are sent to all tasks, to count them where the documents are read; beyond it, all are joined.
 MOST_SENT = 4_000_000
 SEED = T.StructType([T.StructField("id", T.LongType()), T.StructField("gram", T.LongType())])
+WINDOWS = T.StructType([*SEED.fields, T.StructField("n", T.LongType())])
+PAIR = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType())])
 #: Two thirds of a piece's words must agree: texts made from one pattern with other names and numbers don't align.
 MATCH, MISMATCH, GAP = 1, -2, -2
 #: What a further piece of the same passage costs, in score: more than runs of common phrases reach.
 PIECE, PIECE_IDEOGRAPHS = 9, 14
 
 
-def _windows(ws: list[str], hashed: WordHash) -> np.ndarray:
-    return np.unique(grams(hashed(ws), 6 if is_ideographic(ws) else 3))
+def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashed = WordHash()
+    for df in batches:
+        rows = []
+        for i, text in zip(df["id"], df["text"], strict=True):
+            ws = words(text)
+            g, n = np.unique(grams(hashed(ws), 6 if is_ideographic(ws) else 3), return_counts=True)
+            rows += zip([i] * len(g), g.view(np.int64).tolist(), n.tolist())
+        yield pd.DataFrame(rows, columns=WINDOWS.names).astype("int64")
+
 
+def _doc_windows(hashed: WordHash, text: str | None) -> np.ndarray:
+    h = hashed(words(text))
+    # a text may mix both kinds of writing
+    return np.unique(np.concatenate([grams(h, 3), grams(h, 6)]))
+
+
+def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashed = WordHash()
+    for df in batches:
+        found = [_doc_windows(hashed, text) for text in df["text"]]
+        yield pd.DataFrame({"id": np.repeat(df["id"].to_numpy(dtype=np.int64), [len(g) for g in found]), "gram": np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)})
+
+
+def _met(wanted: pd.DataFrame):
+    """The pairs of a document and an item of wanted(id, gram, n, need), counted where the document is read."""
+    wanted = wanted.assign(gram=wanted["gram"].to_numpy(dtype=np.int64).view(np.uint64)).sort_values("gram")
+    windows, first = np.unique(wanted["gram"].to_numpy(), return_index=True)
+    first = np.append(first, len(wanted))
+    item, ids = pd.factorize(wanted["id"])
+    item, times = item.astype(np.int32), wanted["n"].to_numpy(dtype=np.int32)
+    need = np.zeros(len(ids), dtype=np.int64)
+    need[item] = wanted["need"]
+    ids = ids.to_numpy(dtype=np.int64)
 
-def _seeds(kept: np.ndarray | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
         for df in batches:
-            ids, found = [], []
+            docs, found = [], []
             for i, text in zip(df["id"], df["text"], strict=True):
-                ws = words(text)
-                if not ws:
+                g = _doc_windows(hashed, text)
+                at = np.searchsorted(windows, g)
+                at = at[windows[np.minimum(at, len(windows) - 1)] == g]
+                if not len(at):
                     continue
-                # a text may mix both kinds of writing
-                h = hashed(ws)
-                g = np.unique(np.concatenate([grams(h, 3), grams(h, 6)]))
-                if kept is not None:
-                    g = g[kept[np.minimum(np.searchsorted(kept, g), len(kept) - 1)] == g]
-                if len(g):
-                    ids.append(np.full(len(g), i, dtype=np.int64))
-                    found.append(g.view(np.int64))
-            if ids:
-                yield pd.DataFrame({"id": np.concatenate(ids), "gram": np.concatenate(found)})
+                many = first[at + 1] - first[at]
+                rows = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                some, place = np.unique(item[rows], return_inverse=True)
+                some = some[np.bincount(place, times[rows]) >= need[some]]
+                docs.append(np.full(len(some), i, dtype=np.int64))
+                found.append(ids[some])
+            if docs:
+                yield pd.DataFrame({"doc_id": np.concatenate(docs), "item_id": np.concatenate(found)})
 
     return run
 
 
-def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashed = WordHash()
-    for df in batches:
-        rows = [(i, int(g)) for i, t in zip(df["id"], df["text"], strict=True) for g in _windows(words(t), hashed).view(np.int64)]
-        yield pd.DataFrame(rows, columns=["id", "gram"]).astype({"id": "int64", "gram": "int64"})
-
-
-def candidates(docs: DataFrame, items: DataFrame, *, rarest: float = 0.6, least: int = 2, least_share: float = 0.18) -> DataFrame:
-    """(doc_id, item_id) of documents that hold at least least, and the share least_share, of an item's rare windows.
+def candidates(docs: DataFrame, items: DataFrame, *, least: int = 2, least_share: float = 0.18, most_sent: int = MOST_SENT) -> DataFrame:
+    """(doc_id, item_id) of documents that hold at least least, and the share least_share, of an item's windows.
 
-    docs(id, text), items(id, text). An item's windows are ranked by the number of documents and items that have
-    them, and the given share of rarest ones are its seeds; a leak of two fifths of the passage holds some of them.
+    docs(id, text), items(id, text). All windows of an item are seeds, each as often as the item has it, so how many
+    documents hold an excerpt doesn't matter. Two fifths of a passage have two fifths of its windows, less two (five of
+    ideographs) at the end of a piece and three (six) at each replaced word; at one replaced word in six, 20 % are left.
     """
-    wanted = cut(items.select("id", "text").mapInPandas(_item_windows, SEED))
-    kept = None
-    if wanted.count() <= MOST_SENT:
-        got = wanted.select("gram").distinct().toPandas()["gram"].to_numpy(dtype=np.int64)
-        kept = np.sort(got.view(np.uint64))
-        if not len(kept):
-            return docs.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("item_id")).limit(0)
-    hits = cut(docs.select("id", "text").mapInPandas(_seeds(kept), SEED))
-    df = hits.groupBy("gram").agg(F.count("*").alias("df"))
-    common = wanted.groupBy("gram").agg(F.count("*").alias("n_items"))
-    place = Window.partitionBy("id").orderBy("n_items", "df", "gram")
-    ranked = wanted.join(common, "gram").join(df, "gram").withColumn("rank", F.row_number().over(place)).withColumn("of", F.count("*").over(Window.partitionBy("id")))
-    seeds = ranked.where(F.col("rank") <= F.ceil(F.col("of") * rarest)).select(F.col("id").alias("item_id"), "gram", F.ceil(F.col("of") * rarest).alias("of"))
-    met = hits.join(seeds, "gram").groupBy(F.col("id").alias("doc_id"), "item_id", "of").agg(F.count("*").alias("seeds"))
-    return met.where(F.col("seeds") >= F.least("of", F.greatest(F.lit(least), F.ceil(F.col("of") * least_share)))).select("doc_id", "item_id")
+    each = items.select("id", "text").mapInPandas(_item_windows, WINDOWS).groupBy("id", "gram").agg(F.sum("n").alias("n"))
+    of = F.sum("n").over(Window.partitionBy("id"))
+    wanted = cut(each.withColumn("need", F.least(of, F.greatest(F.lit(least), F.ceil(of * least_share)))))
+    if (n := wanted.count()) == 0:
+        return docs.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("item_id")).limit(0)
+    if n <= most_sent:
+        return docs.select("id", "text").mapInPandas(_met(wanted.toPandas()), PAIR).distinct()
+    hits = docs.select("id", "text").distinct().mapInPandas(_seeds, SEED)
+    met = hits.join(wanted.withColumnRenamed("id", "item_id"), "gram").groupBy(F.col("id").alias("doc_id"), "item_id", "need").agg(F.sum("n").alias("met"))
+    return met.where("met >= need").select("doc_id", "item_id")
 
 
 def aligned(docs: list[np.ndarray], items: list[np.ndarray], piece: list[int]) -> np.ndarray:

@@ -230,6 +230,17 @@ def test_leaks_whole_partial_and_edited(spark):
     assert leakage.leaks(spark.createDataFrame([], "id long, text string"), spark.createDataFrame(items, "id long, text string")).count() == 0
 
 
+def test_an_excerpt_in_many_documents_is_found_in_each(spark):
+    rng = random.Random(11)
+    said = [sentence(14, rng) for _ in range(10)]
+    part = lambda a, b: " ".join(said[a:b])
+    docs = [(k, f"{sentence(30, rng)} {part(0, 5) if k < 40 else part(5, 10) if k < 50 else part(0, 10)} {sentence(30, rng)}") for k in range(51)] + [(99, sentence(90, rng))]
+    docs, items = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame([(7, part(0, 10))], "id long, text string")
+    assert sorted(r.doc_id for r in leakage.leaks(docs, items).collect()) == list(range(51))
+    pairs = [sorted(map(tuple, leakage.candidates(docs, items, most_sent=n).collect())) for n in (0, 10_000)]
+    assert pairs[0] == pairs[1] == [(k, 7) for k in range(51)]
+
+
 # ---- 9
 
 
