@@ -36,20 +36,19 @@ def frequent_items(items: DataFrame, need: DataFrame) -> DataFrame:
     return counted.join(need, "site").where(F.col("docs") >= F.col("need")).select("site", "item", "item2", "docs")
 
 
-def frequent_sequences(items: DataFrame, need: DataFrame, *, longest: int = 3) -> DataFrame:
+def frequent_sequences(items: DataFrame, need: DataFrame) -> DataFrame:
     """(site, pattern ARRAY<BIGINT>, docs): PrefixSpan over each text's sequence of frequent lines.
 
     Each level joins the prefixes' projected databases (text and the place after the prefix's earliest match) with
-    the frequent lines that follow, keeps extensions with enough documents, and goes on with those. longest is the
-    greatest pattern length, as in any PrefixSpan; the deletion of lines doesn't depend on it, as every
-    line of a frequent sequence is frequent by itself.
+    the frequent lines that follow, keeps extensions with enough documents, and goes on until no extension has. All
+    frequent sequences come out, not the closed ones alone: a block of n lines that always stand together has 2^n - 1.
     """
     single = frequent_items(items, need)
     rows = cut(items.join(single.drop("docs"), ["site", "item", "item2"], "left_semi").drop("item2"))
     found = single.select("site", F.array("item").alias("pattern"), "docs")
     state = rows.groupBy("site", "doc", "id", F.array("item").alias("pattern")).agg(F.min("line_no").alias("after"))
     follow = rows.select("site", F.col("doc").alias("_doc"), F.col("id").alias("_id"), "item", "line_no")
-    for _ in range(longest - 1):
+    while True:
         longer = (
             state.join(follow.withColumnsRenamed({"_id": "id", "_doc": "doc"}), ["site", "doc", "id"])
             .where(F.col("line_no") > F.col("after"))
@@ -59,10 +58,9 @@ def frequent_sequences(items: DataFrame, need: DataFrame, *, longest: int = 3) -
         counted = longer.select("site", "pattern", "doc").distinct().groupBy("site", "pattern").agg(F.count("*").alias("docs"))
         kept = cut(counted.join(need, "site").where(F.col("docs") >= F.col("need")).select("site", "pattern", "docs"))
         if kept.isEmpty():
-            break
+            return found
         found = found.unionByName(kept)
         state = cut(longer.join(kept.drop("docs"), ["site", "pattern"], "left_semi"))
-    return found
 
 
 def repeated_lines(docs: DataFrame, *, least_docs: int = 4, least_share: float = 0.1, least_letters: int = 12) -> DataFrame:

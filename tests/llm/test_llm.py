@@ -167,6 +167,15 @@ def test_sequences_equal_brute_force(spark):
     assert got == want
 
 
+def test_sequences_of_any_length(spark):
+    footer = [f"{w} footer line of the site" for w in ("first", "second", "third", "fourth", "fifth", "sixth")]
+    rows = [(k, f"https://a.example/{k}", "\n".join([sentence(), *footer[: 6 if k < 4 else 5]])) for k in range(8)]
+    df = spark.createDataFrame(rows, "id long, source_doc string, text string")
+    got = Counter((len(r.pattern), r.docs) for r in lines.frequent_sequences(lines.line_items(df), lines.site_support(df, 4, 0.1)).collect())
+    want = Counter((n, 4 if 5 in p else 8) for n in range(1, 7) for p in combinations(range(6), n))
+    assert got == want
+
+
 # ---- 6
 
 
