@@ -24,7 +24,7 @@ SENTENCE_END = re.compile(r"[.!?。！？…:：;；”\"’)）*_]\s*$")
 WIDE = re.compile("[぀-ヿ㐀-鿿]")
 
 TOKEN = T.StructType(
-    [T.StructField("host", T.StringType()), T.StructField("token", T.LongType()), T.StructField("page", T.LongType()), T.StructField("followed", T.IntegerType())]
+    [T.StructField("host", T.StringType()), T.StructField("token", T.LongType()), T.StructField("page", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("prose", T.BooleanType())]
 )
 FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("line_no", T.IntegerType())])
 
@@ -65,22 +65,28 @@ def _fences(lines: list[str]) -> list[bool]:
 
 
 def _page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A page's different tokens; followed: a prose line comes after the token's last occurrence."""
+    """A page's different tokens, each with the line of its last occurrence; prose: the token is a whole line of prose."""
     for df in batches:
         rows = []
         for host, text in zip(df["host"], df["text"], strict=True):
             lines = (text or "").split("\n")
             code = _fences(lines)
-            page = _hash("t", max(lines, key=len))
-            last = max((k for k, x in enumerate(lines) if is_prose(x)), default=-1)
-            seen: dict[int, int] = {}
+            prose = [is_prose(x) for x in lines]
+            # all prose lines make the page: a notice that many pages share, however long, doesn't make them one
+            page = _hash("t", "\n".join(sorted({x.strip() for x, p in zip(lines, prose, strict=True) if p} or {x.strip() for x in lines})))
+            seen: dict[int, tuple[int, bool]] = {}
             for k, line in enumerate(lines):
-                if line.strip() and not code[k] and len(line) <= 200:
+                if code[k]:
+                    if prose[k]:
+                        seen[_hash("k", line)] = k, True
+                elif line.strip():
                     whole, parts, prefix = line_tokens(line, host or "")
-                    for t in (whole, *parts, *([prefix] if prefix is not None else [])):
-                        seen[t] = k
-            rows += ((host, t, page, int(k < last)) for t, k in seen.items())
-        yield pd.DataFrame(rows, columns=TOKEN.names).astype({"token": "int64", "page": "int64", "followed": "int32"})
+                    if len(line) <= 200:  # only short lines are menus or labels
+                        for t in (*parts, *([prefix] if prefix is not None else [])):
+                            seen[t] = k, False
+                    seen[whole] = k, prose[k]
+            rows += ((host, t, page, k, p) for t, (k, p) in seen.items())
+        yield pd.DataFrame(rows, columns=TOKEN.names).astype({"token": "int64", "page": "int64", "at": "int32", "prose": "bool"})
 
 
 def template_tokens(pages: DataFrame, *, host_share: float = 0.05, all_share: float = 0.01, least: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -88,19 +94,26 @@ def template_tokens(pages: DataFrame, *, host_share: float = 0.05, all_share: fl
 
     Tokens with the same occurrence vector (pages of the host that have them, compared by the sum and the number of page hashes)
     form a class. A class is valid if it occurs in at least least pages, with different articles, and in the given share of
-    the host's pages; a token's place in the template is "tail" where hardly any prose follows it. Pages that repeat another page's
-    longest line count once, so copies of one article don't make it a template. Over all hosts, classes are
+    the host's pages; a token's place in the template is "tail" where hardly any prose follows it. Prose lines that are
+    tokens of a valid class, or of one over all hosts, don't count there. Pages with the same prose lines
+    count once, so copies of one article don't make it a template. Over all hosts, classes are
     counted in the same way, for hosts with few pages.
     """
     tokens = pages.mapInPandas(_page_tokens, TOKEN)
-    once = cut(tokens.groupBy("host", "token", "page").agg(F.max("followed").alias("followed")))
-    vectors = once.groupBy("host", "token").agg(F.count("*").alias("n"), F.sum(F.col("page").cast("decimal(20,0)")).alias("vector"), F.sum("followed").alias("followed"))
+    once = cut(tokens.groupBy("host", "token", "page").agg(F.max("at").alias("at"), F.max("prose").alias("prose")))
     sizes = once.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    total = sizes.agg(F.sum("pages").alias("pages"))  # one row
+    lines = once.where("prose").groupBy("host", "token").agg(F.count("*").alias("n"))
+    of_host = lines.join(sizes, "host").where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * host_share)).select("host", "token")
+    of_all = lines.groupBy("token").agg(F.sum("n").alias("n")).join(F.broadcast(total)).where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * all_share)).select("token")
+    own_prose = once.where("prose").join(of_host, ["host", "token"], "left_anti").join(of_all, "token", "left_anti")
+    last = own_prose.groupBy("host", "page").agg(F.max("at").alias("last"))
+    placed = once.join(last, ["host", "page"], "left").withColumn("followed", F.coalesce(F.col("at") < F.col("last"), F.lit(False)).cast("int"))
+    vectors = placed.groupBy("host", "token").agg(F.count("*").alias("n"), F.sum(F.col("page").cast("decimal(20,0)")).alias("vector"), F.sum("followed").alias("followed"))
     classes = vectors.groupBy("host", "n", "vector").agg(F.collect_list(F.struct("token", "followed")).alias("tokens"))
     valid = classes.join(sizes, "host").where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * host_share))
     each = valid.select("host", "n", F.explode("tokens").alias("t"))
     by_host = each.select("host", "t.token", (F.col("t.followed") < 0.25 * F.col("n")).alias("tail"), F.lit(True).alias("strong"))
-    total = sizes.agg(F.sum("pages").alias("pages"))  # one row
     everywhere = vectors.groupBy("token").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed")).join(F.broadcast(total))
     everywhere = everywhere.where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * all_share))
     return by_host, everywhere.select("token", (F.col("followed") < 0.25 * F.col("n")).alias("tail"), (F.col("n") >= 4 * all_share * F.col("pages")).alias("strong"))

@@ -120,6 +120,19 @@ def test_menus_notices_and_tails_are_told_from_the_article(spark):
     assert boilerplate.boilerplate_lines(spark.createDataFrame([], "id long, source_doc string, text string")).count() == 0
 
 
+def test_a_notice_in_one_long_line_is_told_from_the_article(spark):
+    rng = random.Random(5)
+    notice = " ".join(sentence(12, rng) for _ in range(8))
+    rows, want = [], set()
+    for k in range(12):
+        body = [f"# {sentence(4, rng)}", sentence(20, rng), "", sentence(20, rng)]
+        tail = ["Related posts", f"- {sentence(4, rng)}", f"- {sentence(4, rng)}", notice]
+        rows.append((k, "https://acme.example/p", "\n".join(body + tail)))
+        want |= {(k, n) for n in range(len(body) + 1, len(body + tail) + 1)}
+    got = {(r.id, r.line_no) for r in boilerplate.boilerplate_lines(spark.createDataFrame(rows, "id long, source_doc string, text string")).collect()}
+    assert (got - want, want - got) == (set(), set())
+
+
 # ---- 4
 
 
