@@ -24,7 +24,15 @@ SENTENCE_END = re.compile(r"[.!?。！？…:：;；”\"’)）*_]\s*$")
 WIDE = re.compile("[぀-ヿ㐀-鿿]")
 
 TOKEN = T.StructType(
-    [T.StructField("host", T.StringType()), T.StructField("token", T.LongType()), T.StructField("page", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("prose", T.BooleanType())]
+    [
+        T.StructField("host", T.StringType()),
+        T.StructField("token", T.LongType()),
+        T.StructField("page", T.LongType()),
+        T.StructField("at", T.IntegerType()),
+        T.StructField("times", T.IntegerType()),
+        T.StructField("prose", T.BooleanType()),
+        T.StructField("heading", T.BooleanType()),
+    ]
 )
 FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("line_no", T.IntegerType())])
 
@@ -65,7 +73,7 @@ def _fences(lines: list[str]) -> list[bool]:
 
 
 def _page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A page's different tokens, each with the line of its last occurrence; prose: the token is a whole line of prose."""
+    """A page's different tokens, each with the line of its last occurrence and their number; prose, heading: the token is a whole line of prose, a heading."""
     for df in batches:
         rows = []
         for host, text in zip(df["host"], df["text"], strict=True):
@@ -74,47 +82,80 @@ def _page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prose = [is_prose(x) for x in lines]
             # all prose lines make the page: a notice that many pages share, however long, doesn't make them one
             page = _hash("t", "\n".join(sorted({x.strip() for x, p in zip(lines, prose, strict=True) if p} or {x.strip() for x in lines})))
-            seen: dict[int, tuple[int, bool]] = {}
+            seen: dict[int, tuple[int, int, bool, bool]] = {}
+
+            def note(token: int, k: int, p: bool, h: bool, seen: dict = seen) -> None:
+                seen[token] = k, seen[token][1] + 1 if token in seen else 1, p, h
+
             for k, line in enumerate(lines):
                 if code[k]:
                     if prose[k]:
-                        seen[_hash("k", line)] = k, True
+                        note(_hash("k", line), k, True, False)
                 elif line.strip():
                     whole, parts, prefix = line_tokens(line, host or "")
                     if len(line) <= 200:  # only short lines are menus or labels
                         for t in (*parts, *([prefix] if prefix is not None else [])):
-                            seen[t] = k, False
-                    seen[whole] = k, prose[k]
-            rows += ((host, t, page, k, p) for t, (k, p) in seen.items())
-        yield pd.DataFrame(rows, columns=TOKEN.names).astype({"token": "int64", "page": "int64", "at": "int32", "prose": "bool"})
+                            note(t, k, False, False)
+                    note(whole, k, prose[k], line.lstrip().startswith("#"))
+            rows += ((host, t, page, *x) for t, x in seen.items())
+        yield pd.DataFrame(rows, columns=TOKEN.names).astype({"token": "int64", "page": "int64", "at": "int32", "times": "int32", "prose": "bool", "heading": "bool"})
 
 
-def template_tokens(pages: DataFrame, *, host_share: float = 0.05, all_share: float = 0.01, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(by host, over all hosts): the tokens of valid equivalence classes, with their place.
+def _placed(once: DataFrame, sizes: DataFrame, total: DataFrame, host_share: float, all_share: float, least: int) -> DataFrame:
+    """once with slot, the place of a token in its page: 0 before the first line of the page's own prose, 1 inside it, 2 after the last.
+
+    Prose lines that recur like a template's don't count as the page's own; a page without any has slot 2 throughout.
+    """
+    lines = once.where("prose").groupBy("host", "token").agg(F.count("*").alias("n"))
+    of_host = lines.join(sizes, "host").where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * host_share)).select("host", "token")
+    of_all = lines.groupBy("token").agg(F.sum("n").alias("n")).join(F.broadcast(total)).where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * all_share)).select("token")
+    own = once.where("prose").join(of_host, ["host", "token"], "left_anti").join(of_all, "token", "left_anti")
+    span = own.groupBy("host", "page").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    slot = F.when(F.col("at") < F.col("first"), 0).when(F.col("at") < F.col("last"), 1).otherwise(2)
+    return once.join(span, ["host", "page"], "left").withColumn("slot", slot)
 
-    Tokens with the same occurrence vector (pages of the host that have them, compared by the sum and the number of page hashes)
-    form a class. A class is valid if it occurs in at least least pages, with different articles, and in the given share of
-    the host's pages; a token's place in the template is "tail" where hardly any prose follows it. Prose lines that are
-    tokens of a valid class, or of one over all hosts, don't count there. Pages with the same prose lines
-    count once, so copies of one article don't make it a template. Over all hosts, classes are
+
+def template_classes(placed: DataFrame) -> DataFrame:
+    """(host, cls, n, size, tokens, ordered): the equivalence classes of tokens.
+
+    Tokens with the same occurrence vector (which of the host's pages have them, and how often, compared by hash) form a
+    class: no larger than a page. ordered: the share of its pages in which the class's tokens stand in its most frequent order.
+    """
+    slots = [F.count_if(F.col("slot") == k).alias(f"in{k}") for k in range(3)]
+    vectors = placed.groupBy("host", "token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("page", "times")).alias("v1"), F.sum(F.xxhash64("times", "page").cast("decimal(20,0)")).alias("v2"), F.max("heading").alias("heading"), *slots)
+    cls = F.xxhash64("n", "v1", "v2")
+    classes = vectors.groupBy("host", cls.alias("cls")).agg(F.max("n").alias("n"), F.count("*").alias("size"), F.collect_list(F.struct("token", "heading", "in0", "in1", "in2")).alias("tokens"))
+    members = classes.where("size > 1").select("host", "cls", F.explode("tokens.token").alias("token"))
+    of_page = placed.join(members, ["host", "token"]).groupBy("host", "cls", "page").agg(F.hash(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])).alias("order"))
+    ordered = of_page.groupBy("host", "cls", "order").agg(F.count("*").alias("m")).groupBy("host", "cls").agg((F.max("m") / F.sum("m")).alias("ordered"))
+    return classes.join(ordered, ["host", "cls"], "left").withColumn("ordered", F.coalesce("ordered", F.lit(1.0)))
+
+
+def template_tokens(pages: DataFrame, *, host_share: float = 0.05, all_share: float = 0.01, least: int = 3, nested: float = 0.75, strong: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """(by host, over all hosts): the tokens of the template, with their place in it.
+
+    The template is made of the equivalence classes that occur in at least least pages, with different articles, and in the
+    share host_share of the host's pages, and that nest: their tokens keep one order, and a class lies in one slot of the
+    page in the share nested of its pages, before the article, inside its span or after it. A class that floats from slot to slot, or a
+    single heading inside the article, is of the template only with strong times the support: an article's own headings and labels
+    recur too. A token's place is "tail" where it hardly ever has prose after it. Pages with the same prose lines
+    count once, so copies of one article don't make it a template. Over all hosts, tokens are
     counted in the same way, for hosts with few pages.
     """
     tokens = pages.mapInPandas(_page_tokens, TOKEN)
-    once = cut(tokens.groupBy("host", "token", "page").agg(F.max("at").alias("at"), F.max("prose").alias("prose")))
+    once = cut(tokens.groupBy("host", "token", "page").agg(F.max("at").alias("at"), F.max("times").alias("times"), F.max("prose").alias("prose"), F.max("heading").alias("heading")))
     sizes = once.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     total = sizes.agg(F.sum("pages").alias("pages"))  # one row
-    lines = once.where("prose").groupBy("host", "token").agg(F.count("*").alias("n"))
-    of_host = lines.join(sizes, "host").where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * host_share)).select("host", "token")
-    of_all = lines.groupBy("token").agg(F.sum("n").alias("n")).join(F.broadcast(total)).where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * all_share)).select("token")
-    own_prose = once.where("prose").join(of_host, ["host", "token"], "left_anti").join(of_all, "token", "left_anti")
-    last = own_prose.groupBy("host", "page").agg(F.max("at").alias("last"))
-    placed = once.join(last, ["host", "page"], "left").withColumn("followed", F.coalesce(F.col("at") < F.col("last"), F.lit(False)).cast("int"))
-    vectors = placed.groupBy("host", "token").agg(F.count("*").alias("n"), F.sum(F.col("page").cast("decimal(20,0)")).alias("vector"), F.sum("followed").alias("followed"))
-    classes = vectors.groupBy("host", "n", "vector").agg(F.collect_list(F.struct("token", "followed")).alias("tokens"))
-    valid = classes.join(sizes, "host").where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * host_share))
-    each = valid.select("host", "n", F.explode("tokens").alias("t"))
-    by_host = each.select("host", "t.token", (F.col("t.followed") < 0.25 * F.col("n")).alias("tail"), F.lit(True).alias("strong"))
-    everywhere = vectors.groupBy("token").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed")).join(F.broadcast(total))
+    placed = cut(_placed(once, sizes, total, host_share, all_share, least))
+    classes = template_classes(placed).join(sizes, "host")
+    inside = lambda k: F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc + t[f"in{k}"])
+    one_slot = F.greatest(*(inside(k) for k in range(3))) >= nested * F.col("n") * F.col("size")
+    own_heading = (F.col("size") == 1) & F.exists("tokens", lambda t: t["heading"]) & (inside(1) * 2 >= F.col("n"))
+    support = F.col("pages") * host_share
+    valid = (F.col("n") >= least) & (F.col("n") >= support) & (F.col("ordered") >= 0.9) & ((one_slot & ~own_heading) | (F.col("n") >= strong * support))
+    each = classes.where(valid).select("host", "n", F.explode("tokens").alias("t"))
+    by_host = each.select("host", "t.token", ((F.col("t.in0") + F.col("t.in1")) < 0.25 * F.col("n")).alias("tail"), F.lit(True).alias("strong"))
+    everywhere = placed.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("slot") < 2).alias("followed"), F.max("heading").alias("heading")).join(F.broadcast(total))
     everywhere = everywhere.where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * all_share))
     return by_host, everywhere.select("token", (F.col("followed") < 0.25 * F.col("n")).alias("tail"), (F.col("n") >= 4 * all_share * F.col("pages")).alias("strong"))
 

@@ -2,15 +2,19 @@
 
 A wrong code page is a substitution cipher: each byte, or run of bytes, of the true text stands as other letters. Which cipher
 a piece of text went through is hidden. Expectation-maximisation finds it: a character bigram model of the corpus (most of
-which is sound) scores what each cipher's inverse makes of the piece; the expected numbers of pieces by cipher and source
-give the next round's priors, and the expected counts of (garbled run, restored run) pairs the source's substitution table,
-which also restores runs in pieces that no cipher inverts as a whole.
+which is sound) scores what each possible inverse makes of the piece; the expected numbers of pieces by cipher and source
+give the next round's priors. The expected counts of (symbols, letter) give each source's table from symbols to letters, which
+translate() applies where it is one to one, and which also restores pieces that no cipher inverts as a whole.
+
+No swap is listed by hand: the code pages are all single-byte ones that Python has, and any may have been taken for UTF-8 or
+for any other.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from encodings.aliases import aliases
 from functools import lru_cache
 
 import numpy as np
@@ -22,17 +26,40 @@ from pyspark.sql import types as T
 from quern.functions.text import site
 from quern.session import cut, read
 
-#: (code page that was taken, code page of the bytes), for pieces between ASCII characters.
-RUN_SWAPS = [(w, "utf-8") for w in ("latin-1", "cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "gb18030", "big5", "cp932", "euc_kr")]
-RUN_SWAPS += [(w, "cp1252") for w in ("mac_roman", "cp437", "cp850", "cp1251")] + [("cp1252", "mac_roman"), ("latin-1", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850")]
+
+
+def _single_byte_pages() -> dict[str, str]:
+    """The code pages that give ASCII as it is and at least 90 of the other bytes a character of their own: name -> their upper half, by byte."""
+    found: dict[str, str] = {}
+    for name in sorted(set(aliases.values())):
+        try:
+            if bytes(range(32, 127)).decode(name) != bytes(range(32, 127)).decode("ascii"):
+                continue
+            upper = "".join(bytes([b]).decode(name, "replace")[:1] or "\ufffd" for b in range(128, 256))
+        except (LookupError, UnicodeError, TypeError, ValueError):
+            continue
+        if len(set(upper) - {"\ufffd"}) >= 90 and len(upper) == 128 and upper not in found.values():
+            found[name] = upper
+    return found
+
+
+PAGES = _single_byte_pages()
+#: By wrong page, symbol -> byte; by true page, byte -> letter: two such tables make a cipher.
+SYMBOLS = {name: {ord(c): 128 + k for k, c in enumerate(upper) if c != "\ufffd"} for name, upper in PAGES.items()}
+for _name in ("cp1252", "cp1250"):  # their undefined bytes pass as controls
+    SYMBOLS[_name] |= {k: k for k in range(128, 160) if k not in SYMBOLS[_name].values()}
+WIDE_PAGES = ("gb18030", "big5", "cp932", "euc_kr")
 #: For whole lines, as the bytes may be ASCII in part.
-LINE_SWAPS = [(w, r) for w in ("latin-1", "cp1252") for r in ("gb18030", "big5", "euc_jp", "cp932", "euc_kr")]
-LINE_SWAPS += [("gb18030", "big5"), ("gb18030", "euc_jp"), ("gb18030", "cp932"), ("big5", "gb18030"), ("cp932", "gb18030"), ("cp932", "euc_jp"), ("gb18030", "utf-8"), ("big5", "utf-8"), ("cp932", "utf-8"), ("euc_kr", "utf-8"), ("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"), ("cp1251", "utf-8"), ("cp437", "utf-8")]
+LINE_SWAPS = [(w, r) for w in ("latin_1", "cp1252") for r in ("gb18030", "big5", "euc_jp", "cp932", "euc_kr")]
+LINE_SWAPS += [("gb18030", "big5"), ("gb18030", "euc_jp"), ("gb18030", "cp932"), ("big5", "gb18030"), ("cp932", "gb18030"), ("cp932", "euc_jp"), ("gb18030", "utf-8"), ("big5", "utf-8"), ("cp932", "utf-8"), ("euc_kr", "utf-8"), *((w, "utf-8") for w in PAGES)]
 LOST = "�"
 RUN = re.compile("[^\x00-\x7f]+")
 FOUR = re.compile("[^\x00-\x7f]{4}")
 WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
 CONTROL = re.compile("[\x80-\x9f]")
+NARROW_RUN = re.compile("[^\x00-\x7f\u3000-\u30ff\u3400-\u9fff\uac00-\ud7af\uff00-\uffef]+")
+#: Swaps of one single-byte page for another are tried where a run is so unlikely, in nats a character.
+UNLIKELY = -8.0
 SHIFT = 21  # bits of a code point
 
 PAIR = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
@@ -104,33 +131,50 @@ class Language:
 
 def _bytes(text: str, wrong: str) -> bytes | None:
     try:
-        if wrong == "cp1252":  # its five undefined bytes pass as controls
-            return b"".join(ch.encode("latin-1" if "\x80" <= ch <= "\x9f" else "cp1252") for ch in text)
+        if wrong in SYMBOLS:
+            table = SYMBOLS[wrong]
+            return bytes([c if c < 128 else table[c] for c in map(ord, text)])
         return text.encode(wrong)
-    except UnicodeError:
+    except (UnicodeError, KeyError):
         return None
 
 
-def _codec(text: str, wrong: str, right: str) -> str | None:
-    raw = _bytes(text, wrong)
-    try:
-        out = None if raw is None else raw.decode(right)
-    except UnicodeError:
-        return None
-    return None if out is None or out == text or CONTROL.search(out) and not CONTROL.search(text) else out
+def _sane(out: str, text: str) -> bool:
+    return out != text and not (CONTROL.search(out) and not CONTROL.search(text))
 
 
 @lru_cache(maxsize=50_000)
 def _run_ways(run: str) -> tuple[tuple[str, str], ...]:
-    """What the ciphers' inverses, once or twice over, make of a run."""
+    """What the bytes of a run are in UTF-8, once or twice over, whatever page they were read by."""
     out: dict[str, str] = {}
-    for wrong, right in RUN_SWAPS:
-        once = _codec(run, wrong, right)
-        if once is None:
+    for wrong in (*PAGES, *WIDE_PAGES):
+        raw = _bytes(run, wrong)
+        try:
+            once = None if raw is None else raw.decode("utf-8")
+        except UnicodeError:
+            continue
+        if once is None or not _sane(once, run):
             continue
-        out.setdefault(once, f"{wrong}>{right}")
-        if right == "utf-8" and not once.isascii() and (twice := _codec(once, wrong, right)) is not None:
-            out.setdefault(twice, f"{wrong}>{right} twice")
+        out.setdefault(once, f"{wrong}>utf-8")
+        try:
+            again = None if once.isascii() or (raw := _bytes(once, wrong)) is None else raw.decode("utf-8")
+        except UnicodeError:
+            again = None
+        if again is not None and _sane(again, once):
+            out.setdefault(again, f"{wrong}>utf-8 twice")
+    return tuple((s, t) for t, s in out.items())
+
+
+@lru_cache(maxsize=50_000)
+def _page_ways(run: str) -> tuple[tuple[str, str], ...]:
+    """What a run is if one single-byte page was taken for another."""
+    out: dict[str, str] = {}
+    raws = {raw: wrong for wrong in reversed(PAGES) if (raw := _bytes(run, wrong)) is not None}
+    for raw, wrong in raws.items():
+        for right, upper in PAGES.items():
+            text = "".join(upper[b - 128] if b > 127 else chr(b) for b in raw)
+            if LOST not in text and right != wrong and _sane(text, run):
+                out.setdefault(text, f"{wrong}>{right}")
     return tuple((s, t) for t, s in out.items())
 
 
@@ -153,18 +197,18 @@ def _pieces(language):
         for df in batches:
             out = []
             for i, source, text in zip(df["id"], df["source"], df["text"], strict=True):
-                if text and not text.isascii() and not _sound(text):
+                if text and not text.isascii() and not _sound(lm, text):
                     out += ((i, source, *x) for x in _suspicious(lm, text))
             yield pd.DataFrame(out, columns=[f.name for f in PIECE]).astype({"id": "int64", "line_no": "int32"})
 
     return run
 
 
-def _sound(text: str) -> bool:
-    """Narrow text none of whose runs any cipher could have made: nothing can be suspicious in it."""
+def _sound(lm: Language, text: str) -> bool:
+    """Narrow text none of whose runs can have been UTF-8, nor is unlikely by itself: nothing can be suspicious in it."""
     if WIDE.search(text) or LOST in text or FOUR.search(text):
         return False
-    return not any(map(_run_ways, set(RUN.findall(text))))
+    return not any(_run_ways(r) or lm.flat(r) < UNLIKELY * len(r) for r in set(RUN.findall(text)))
 
 
 def _suspicious(lm: Language, text: str) -> Iterator[tuple]:
@@ -183,19 +227,17 @@ def _suspicious(lm: Language, text: str) -> Iterator[tuple]:
             level = float(lm.single[c[wide]].mean())
             if n_wide * 2 > n_odd and level > -9.5 and lm.common[c[odd & ~wide]].all():
                 continue  # common characters of a wide script
-        found: dict[str, float] = {}
-        if n_wide * 2 <= n_odd:
-            for m in RUN.finditer(line):
-                piece = m[0]
-                before, after = line[m.start() - 1 : m.start()] or "\n", line[m.end() : m.end() + 1] or "\n"
-                ways = _run_ways(piece) if len(piece) <= 64 else _run_ways.__wrapped__(piece)
-                if ways:
-                    now = lm.score(piece, before, after)
-                    for swap, restored in ways:
-                        gain = now * -1 + lm.score(restored, before, after)
-                        if gain > 0:
-                            found[swap] = found.get(swap, 0.0) + gain
-                            yield no, swap, gain, piece, restored
+        for m in (NARROW_RUN if n_wide * 2 > n_odd else RUN).finditer(line):
+            piece = m[0]
+            before, after = line[m.start() - 1 : m.start()] or "\n", line[m.end() : m.end() + 1] or "\n"
+            ways = _run_ways(piece) if len(piece) <= 64 else _run_ways.__wrapped__(piece)
+            now = lm.score(piece, before, after)
+            if not ways and now < UNLIKELY * (len(piece) + 1) and not WIDE.search(piece):
+                ways = _page_ways(piece) if len(piece) <= 64 else _page_ways.__wrapped__(piece)
+            for swap, restored in ways:
+                gain = lm.score(restored, before, after) - now
+                if gain > 0:
+                    yield no, swap, gain, piece, restored
         if n_wide * 2 > n_odd >= 4 or FOUR.search(line):
             n_odd = n_odd or len(line) - len(line.encode("ascii", "ignore"))
             now = lm.flat(line)
@@ -209,9 +251,11 @@ def learn(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(_count_pairs, PAIR).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
+def pieces(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(id, source, line_no, swap, gain, garbled, restored): every reading of a piece by which a cipher raises its likelihood.
 
+    The model is learned from all docs; only(id), if given, has the texts whose pieces are wanted.
+
     The model sent to the tasks has a row for each character, and for each pair of characters of which one isn't ASCII
     and none is of a wide script: alphabets bound it, not the corpus. Rows without id have no pieces, and null and empty texts
     have none; a null source is a source; repeated rows count once.
@@ -219,11 +263,12 @@ def pieces(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = cut(learn(docs)).toPandas()
     model = spark.sparkContext.broadcast(Language(counts["pair"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=np.int64)))
-    return docs.select("id", "source", "text").where("id is not null").mapInPandas(_pieces(model), PIECE)
+    wanted = docs if only is None else docs.join(only, "id", "left_semi")
+    return wanted.select("id", "source", "text").where("id is not null").mapInPandas(_pieces(model), PIECE)
 
 
 #: Multi-byte sequences that are valid UTF-8 hardly arise in sound text; single letters that another code page explains do.
-UTF8_PRIOR, OTHER_PRIOR, LEAST_GAIN = 0.5, 1e-3, 8.0
+UTF8_PRIOR, OTHER_PRIOR, LEAST_GAIN = 0.5, 1e-3 / max(1, len(PAGES)), 8.0
 
 
 def solve(found: DataFrame, *, rounds: int = 3) -> DataFrame:
@@ -246,10 +291,30 @@ def solve(found: DataFrame, *, rounds: int = 3) -> DataFrame:
     return p.select(*PIECE.names, "share")
 
 
+UNIT = T.ArrayType(T.StructType([T.StructField("symbols", T.StringType()), T.StructField("letter", T.StringType())]))
+
+
+def _aligned(garbled: str, restored: str) -> list[tuple[str, str]]:
+    """Which symbols stand for which letter: one for each byte of the letter in UTF-8, or one for each letter; nothing if neither fits."""
+    if len(garbled) == len(restored):
+        return [x for x in zip(garbled, restored, strict=True) if x[0] != x[1]]
+    sizes = [len(c.encode("utf-8", "replace")) for c in restored]
+    if sum(sizes) != len(garbled):
+        return []
+    ends = np.cumsum(sizes)
+    return [(garbled[e - n : e], c) for e, n, c in zip(ends, sizes, restored, strict=True)]
+
+
+@F.pandas_udf(UNIT)
+def _units(garbled: pd.Series, restored: pd.Series) -> pd.Series:
+    return pd.Series([[{"symbols": a, "letter": b} for a, b in _aligned(x, y)] for x, y in zip(garbled, restored, strict=True)])
+
+
 def substitutions(solved: DataFrame) -> DataFrame:
-    """(source, garbled, restored): each source's table of runs, by expected counts."""
-    by = solved.where((F.col("restored").isNotNull()) & (F.length("garbled") <= 8)).groupBy("source", "garbled", "restored").agg(F.sum("share").alias("n"))
-    return by.groupBy("source", "garbled").agg(F.max(F.struct("n", "restored")).alias("m")).where("m.n > 0.5").select("source", "garbled", F.col("m.restored").alias("restored"))
+    """(source, symbols, letter): each source's table, by the expected counts of all its pieces, whatever their length."""
+    sure = solved.where("restored is not null and share > 0.01")
+    each = sure.select("source", "share", F.explode(_units("garbled", "restored")).alias("u")).groupBy("source", "u.symbols", "u.letter").agg(F.sum("share").alias("n"))
+    return each.groupBy("source", "symbols").agg(F.max(F.struct("n", "letter")).alias("m"), F.sum("n").alias("all")).where("m.n > 0.5 and m.n > 0.5 * all").select("source", "symbols", F.col("m.letter").alias("letter"))
 
 
 def found_ids(solved: DataFrame) -> DataFrame:
@@ -262,31 +327,58 @@ def found_ids(solved: DataFrame) -> DataFrame:
 def restore(docs: DataFrame, solved: DataFrame) -> DataFrame:
     """(id, text, lost): the found texts with their pieces replaced by the likeliest readings; lost: characters that can't be won back.
 
-    A run for which the piece's line gave no reading of its own is replaced by its source's substitution table.
+    Lines with pieces of their own are rewritten by these; what is garbled still is rewritten by the source's table: symbols
+    that stand for a letter each by translate(), runs of symbols by replacement.
     """
     best = solved.where("restored is not null and share > 0.2").groupBy("id", "line_no", "garbled").agg(F.max(F.struct("share", "restored")).alias("m"))
     per = best.groupBy("id").agg(F.collect_list(F.struct("line_no", "garbled", F.col("m.restored").alias("restored"))).alias("pieces"))
-    table = substitutions(solved).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("garbled", "restored"))).alias("table")).withColumnRenamed("source", "_s")
+    single = F.length("symbols") == 1
+    # alphabets bound a source's table; it goes with the found texts only
+    table = substitutions(solved).groupBy("source").agg(
+        F.sort_array(F.collect_list(F.when(single, F.struct("symbols", "letter")))).alias("ones"),
+        F.sort_array(F.collect_list(F.when(~single, F.struct("symbols", "letter")))).alias("runs"),
+    )
+    side = lambda name: F.array_join(F.transform("ones", lambda x: x[name]), "")
+    table = table.select(F.col("source").alias("_s"), side("symbols").alias("from_symbols"), side("letter").alias("to_letters"), "runs")
     both = docs.select("id", "source", "text").join(found_ids(solved), "id").dropDuplicates(["id"]).join(per, "id", "left").join(table, F.col("source").eqNullSafe(F.col("_s")), "left")
-    out = both.select("id", _rewrite("text", F.to_json("pieces"), F.to_json("table")).alias("text"))
+    done = both.withColumn("text", _rewrite("text", "pieces", "runs"))
+    # what has readings of its own is marked, so that translate() passes it over
+    parts = F.transform(F.split("text", OWN), lambda part, k: F.when(k % 2 == 1, part).otherwise(F.call_function("translate", part, F.coalesce("from_symbols", F.lit("")), F.coalesce("to_letters", F.lit("")))))
+    out = done.select("id", F.array_join(parts, "").alias("text"))
     return out.withColumn("lost", F.length("text") - F.length(F.regexp_replace("text", LOST, "")))
 
 
+#: Set around lines that need no table any more.
+OWN = "\ue0ff"
+
+
 @F.pandas_udf(T.StringType())
 def _rewrite(texts: pd.Series, pieces: pd.Series, tables: pd.Series) -> pd.Series:
-    import json
-
     out = []
     for text, some, table in zip(texts, pieces, tables, strict=True):
         own: dict[int, dict[str, str]] = {}
-        for x in json.loads(some) if some else []:
+        for x in some if some is not None else []:
             own.setdefault(x["line_no"], {})[x["garbled"]] = x["restored"]
-        common = json.loads(table) if table else {}
-        lines = text.split("\n")
+        common = {x["symbols"]: x["letter"] for x in (table if table is not None else [])}
+        runs = re.compile("|".join(map(re.escape, sorted(common, key=len, reverse=True)))) if common else None
+        lines = text.replace(OWN, "").split("\n")
         for no, line in enumerate(lines, 1):
-            if not line.isascii():
-                mine = own.get(no, {})
-                lines[no - 1] = mine[line] if line in mine else RUN.sub(lambda m, mine=mine: mine.get(m[0]) or common.get(m[0]) or m[0], line)
+            if line.isascii():
+                continue
+            mine = own.get(no)
+            if mine is None:  # sound, or garbled in a way that only the source's table knows
+                lines[no - 1] = f"{OWN}{line}{OWN}"
+                continue
+            if line in mine:
+                lines[no - 1] = f"{OWN}{mine[line]}{OWN}"
+                continue
+
+            def swap(m: re.Match, mine: dict = mine) -> str:
+                if m[0] in mine:
+                    return f"{OWN}{mine[m[0]]}{OWN}"
+                return runs.sub(lambda x: common[x[0]], m[0]) if runs else m[0]
+
+            lines[no - 1] = (NARROW_RUN if WIDE.search(line) else RUN).sub(swap, line)
         out.append("\n".join(lines))
     return pd.Series(out)
 
@@ -295,8 +387,12 @@ def _parents(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "chunks").where("is_parent").select("id", site(F.col("source_doc")).alias("source"), "text")
 
 
+def wrongly_decoded(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    return found_ids(solve(cut(pieces(_parents(spark, d), only))))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return found_ids(solve(cut(pieces(_parents(spark, d)))))
+    return wrongly_decoded(spark, d)
 
 
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,13 +127,17 @@ class Models:
         cell = (parts[0] * NARROW + parts[1]) * NARROW + parts[2]
         self.direct[cell[inside]] = np.nonzero(inside)[0]
 
-    def calibrate(self, texts: list[tuple[str, str]]) -> None:
-        """Mean and spread of the cross-entropy of each language's own paragraphs: what is far above is rejected."""
-        ce = {lang: [] for lang in self.langs}
-        for lang, p in texts:
-            if len(p) >= 30:
-                ce[lang].append(-self.scores([p])[0][self.langs.index(lang)])
-        self.limit = np.array([np.mean(v) + 5 * np.std(v) + 0.5 if v else 6.0 for v in (ce[x] for x in self.langs)])
+    def calibrate(self, texts: list[tuple[str, str]], *, spread: float = 4.0) -> None:
+        """A bound for the cross-entropy of each language from paragraphs that the models were not trained on: what is above it is rejected.
+
+        Shorter paragraphs vary more: the bound for n characters is mean + spread * deviation * sqrt(1 + 100 / n).
+        """
+        long = [(lang, p) for lang, p in texts if len(p) >= 30 and lang in self.langs]
+        ce: dict[str, list[float]] = {lang: [] for lang in self.langs}
+        if long:
+            for (lang, _), row in zip(long, self.scores([p for _, p in long]), strict=True):
+                ce[lang].append(-float(row[self.langs.index(lang)]))
+        self.limit = np.array([[np.median(v), spread * max(0.05, 1.4826 * np.median(np.abs(np.array(v) - np.median(v))))] if len(v) >= 5 else [6.0, 0.5] for v in (ce[x] for x in self.langs)])
 
     def _find(self, table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
@@ -209,7 +214,8 @@ class Models:
         p /= p.sum(axis=1, keepdims=True)
         best = s.argmax(axis=1)
         conf = p[np.arange(len(best)), best]
-        good = -s[np.arange(len(best)), best] <= self.limit[best]
+        bound = self.limit[best]
+        good = -s[np.arange(len(best)), best] <= bound[:, 0] + bound[:, 1] * np.sqrt(1 + 100 / n[:, 0])
         return [(self.langs[b] if ok else "und", float(c) if ok else 0.0) for b, c, ok in zip(best, conf, good, strict=True)]
 
 
@@ -220,9 +226,13 @@ def sample(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> DataFrame
     return labelled.withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language).select("lang", "text")
 
 
-def _fitted(rows: list[tuple[str, str]]) -> Models:
+def _fitted(rows: list[tuple[str, str]], held_out: list[tuple[str, str]] | None = None) -> Models:
+    """Models of the rows; the bounds for rejection come from held_out, or else from models of either half of the rows on the other."""
     models = Models(pd.concat(list(_count(iter([pd.DataFrame(rows, columns=["lang", "text"])])))))
-    models.calibrate(rows)
+    if held_out is None and min(Counter(lang for lang, _ in rows).values()) >= 10:
+        models.limit = _fitted(rows[0::2], rows[1::2]).limit
+    else:
+        models.calibrate(held_out or rows)
     return models
 
 
@@ -247,9 +257,9 @@ def train(docs: DataFrame, *, per_language: int = TEXTS_PER_LANGUAGE) -> Models
     if min(map(len, halves)) == 0 or any({x for x, _ in h} != {x for x, _ in whole} for h in halves):
         told = whole
     else:
-        told = _told(_fitted(halves[0]), halves[1], 0.9) + _told(_fitted(halves[1]), halves[0], 0.9)
+        told = _told(_fitted(halves[0], halves[1]), halves[1], 0.9) + _told(_fitted(halves[1], halves[0]), halves[0], 0.9)
     pieces = [(lang, p) for lang, t in told for _, p, _ in paragraphs(t) if len(p) >= 3]
-    said = _told(_fitted(told), pieces, 0.0)
+    said = _told(_fitted(told, told), pieces, 0.0)
     kept = {(lang, p) for lang, p in said}
     return _fitted([x for x in pieces if x in kept] or told)
 
@@ -313,16 +323,18 @@ def document_languages(segments: DataFrame) -> DataFrame:
     return segments.where("main <> 'und'").groupBy("id", F.col("main").alias("lang")).agg(F.avg(F.when(F.col("lang") == F.col("main"), F.col("confidence"))).alias("confidence"))
 
 
-def language_errors(docs: DataFrame, models: Models | None, *, least: float = 0.9, least_margin: float = 1.0, least_chars: int = 8) -> DataFrame:
+def language_errors(docs: DataFrame, models: Models | None, *, least: float = 0.9, least_evidence: float = 14.0, least_margin: float = 0.3) -> DataFrame:
     """(id, para_no, lang, confidence) of docs(id, lang, text).
 
     para_no 0: the label is missing or names another language than most paragraphs have; lang is the right one. para_no k:
-    paragraph k is in another language than most. Null and empty texts, and texts of no model's language, give no rows.
+    paragraph k is in another language than most: the whole paragraph is likelier in it by least_evidence nats, and a character by
+    least_margin, so that a short heading in another script counts, and a name in a long paragraph doesn't. Null
+    and empty texts, and texts of no model's language, give no rows.
     """
     segments = cut(segment_languages(docs, models))
     labels = docs.select("id", base_language(F.col("lang")).alias("label"))
     wrong = document_languages(segments).join(labels, "id").where("label <> lang").select("id", F.lit(0).alias("para_no"), "lang", "confidence")
-    sure = (F.col("confidence") >= least) & (F.col("margin") >= least_margin) & (F.col("chars") >= least_chars)
+    sure = (F.col("confidence") >= least) & (F.col("margin") >= least_margin) & (F.col("margin") * F.col("chars") >= least_evidence)
     other = segments.where((F.col("lang") != F.col("main")) & (F.col("lang") != "und") & (F.col("main") != "und") & sure)
     return wrong.unionByName(other.select("id", "para_no", "lang", "confidence"))
 
@@ -337,11 +349,12 @@ def _errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    from quern.llm.encoding import p4_found
+    """The cases in texts that are prose and decoded rightly; of the others, only those with cases are looked for."""
+    from quern.llm.encoding import wrongly_decoded
     from quern.llm.quality import p1_found
 
     errors = cut(_errors(spark, d))
-    skipped = p1_found(spark, d).unionByName(p4_found(spark, d))
+    skipped = p1_found(spark, d).unionByName(wrongly_decoded(spark, d, errors.select("id").distinct()))
     return errors.join(skipped, "id", "left_anti").select("id", "para_no", "lang")
 
 

@@ -63,16 +63,28 @@ def frequent_sequences(items: DataFrame, need: DataFrame) -> DataFrame:
         state = cut(longer.join(kept.drop("docs"), ["site", "pattern"], "left_semi"))
 
 
+def line_blocks(items: DataFrame, need: DataFrame) -> DataFrame:
+    """(site, item, block): frequent lines that stand in the very same documents of a site (told by number and hash) form a block."""
+    marked = items.select("site", "item", "doc").distinct().groupBy("site", "item").agg(F.count("*").alias("docs"), F.bit_xor("doc").alias("mark"))
+    frequent = marked.join(need, "site").where(F.col("docs") >= F.col("need"))
+    blocks = frequent.groupBy("site", "docs", "mark").agg(F.min("item").alias("block"))
+    return frequent.join(blocks, ["site", "docs", "mark"]).select("site", "item", "block")
+
+
 def repeated_lines(docs: DataFrame, *, least_docs: int = 4, least_share: float = 0.1, least_letters: int = 12) -> DataFrame:
     """(id, line_no) of every occurrence of a line that belongs to a frequent sequence of its site.
 
-    A sequence is frequent only if each of its lines is, so the occurrences of the frequent single lines are all
-    occurrences of all frequent sequences. Null text or source_doc: no rows. Repeated rows count once as
-    documents, and each comes out.
+    Single lines are sequences too. The sequences are those of blocks of lines, so that a footer of n lines which always stand
+    together is one item instead of 2^n - 1 sequences; no line is lost by it, as a block's lines are frequent in the same documents.
+    Null text or source_doc: no rows. Repeated rows count once as documents, and each comes out.
     """
-    items = line_items(docs, least_letters=least_letters)
-    kept = frequent_items(items, site_support(docs, least_docs, least_share)).drop("docs")
-    return items.join(kept, ["site", "item", "item2"], "left_semi").select("id", "line_no")
+    items = cut(line_items(docs, least_letters=least_letters))
+    need = cut(site_support(docs, least_docs, least_share))
+    blocks = cut(line_blocks(items, need))
+    rows = items.join(blocks, ["site", "item"])
+    found = frequent_sequences(rows.select("site", "doc", "id", "line_no", F.col("block").alias("item"), F.lit(0).alias("item2")), need)
+    kept = found.select("site", F.explode("pattern").alias("block")).distinct()
+    return rows.join(kept, ["site", "block"], "left_semi").select("id", "line_no")
 
 
 def without_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:

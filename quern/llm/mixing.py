@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +30,14 @@ def _encoding(path: str):
     return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(path: str = TOKENIZER):
-    """A function of a text column: its tokens; a null text has none."""
+def token_count(spark: SparkSession, path: str = TOKENIZER):
+    """A function of a text column: its tokens; a null text has none. The vocabulary file is sent to the executors."""
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     @F.pandas_udf(T.LongType())
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = _encoding(path)
+        enc = _encoding(SparkFiles.get(name))
         for s in texts:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in s], index=s.index)
 
@@ -45,16 +48,21 @@ def sized(docs: DataFrame, targets: DataFrame, *, path: str = TOKENIZER) -> Data
     """(doc_id, source, tokens, h): documents of the listed sources, measured, with 48 bits of hash."""
     listed = docs.select("doc_id", "source", "text").join(targets.select("source"), "source", "left_semi")
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITS * LEVELS)
-    return listed.select("doc_id", "source", token_count(path)("text").alias("tokens"), h.alias("h"))
+    return listed.select("doc_id", "source", token_count(docs.sparkSession, path)("text").alias("tokens"), h.alias("h"))
 
 
-def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
+def histogram(docs: DataFrame, level: int = 0) -> DataFrame:
+    """(source, bucket, tokens, docs): the sums by source and leading bits of the hash; at most 4096 rows a source at level 0."""
+    return docs.groupBy("source", F.shiftright("h", BITS * (LEVELS - 1 - level)).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
+
+
+def budgets(first: DataFrame, targets: DataFrame) -> DataFrame:
     """A row for each source: its tokens, how often all are used, and the tokens still wanted from one more use of a part.
 
-    The whole is the tokens of all listed sources, each used once. A source falls short if its tokens times
-    max_repeats are fewer than its share of the whole.
+    All sums are those of the first histogram. The whole is the tokens of all listed sources, each used once. A source
+    falls short if its tokens times max_repeats are fewer than its share of the whole.
     """
-    have = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
+    have = first.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
     t = targets.select("source", "target_share", F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
     t = t.join(have, "source", "left").fillna(0, ["tokens", "docs", "target_share"])
     t = t.withColumn("wanted", F.col("target_share") * F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # a row per source
@@ -63,23 +71,25 @@ def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return t.withColumn("rest", F.when(F.col("full") < F.col("max_repeats"), F.col("wanted") - F.col("full") * F.col("tokens")).otherwise(0.0))
 
 
-def thresholds(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def thresholds(docs: DataFrame, plan: DataFrame, first: DataFrame) -> DataFrame:
     """(source, threshold): documents with h below it hold as many tokens as wanted, or less by at most one document.
 
     Level by level, tokens are summed by source and bucket of hash inside the one bucket where the budget ends, so no
-    documents are sorted and each level's result is at most 4096 rows a source.
+    documents are sorted and each level's result is at most 4096 rows a source. first: the histogram of level 0.
     """
     at = plan.select("source", F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"))
     for level in range(LEVELS):
-        shift = BITS * (LEVELS - 1 - level)
-        inside = docs.join(at.select("source", "prefix"), "source").where(F.shiftright("h", shift + BITS) == F.col("prefix"))
-        buckets = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+        if level == 0:
+            buckets = first
+        else:
+            inside = docs.join(at.select("source", "prefix"), "source").where(F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix"))
+            buckets = histogram(inside, level)
         running = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
         over = (
             buckets.withColumn("running", running)
             .join(at.select("source", "left"), "source")
             .groupBy("source")
-            .agg(F.min(F.when(F.col("running") > F.col("left"), F.col("bucket"))).alias("edge"), F.max(F.when(F.col("running") <= F.col("left"), F.col("running"))).alias("used"), F.max("bucket").alias("last"))
+            .agg(F.min(F.when(F.col("running") > F.col("left"), F.col("bucket"))).alias("edge"), F.max(F.when(F.col("running") <= F.col("left"), F.col("running"))).alias("used"))
         )
         last = ((F.col("prefix") + 1) * 2**BITS) - 1
         at = cut(at.join(over, "source", "left").select("source", F.coalesce("edge", last).alias("prefix"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")))
@@ -95,8 +105,9 @@ def mixture(docs: DataFrame, targets: DataFrame, *, path: str = TOKENIZER) -> tu
     have no tokens. Hot sources need no care: all is partial sums and filters.
     """
     measured = cut(sized(docs, targets, path=path))
-    plan = cut(budgets(measured, targets))
-    cuts = thresholds(measured, plan)
+    first = cut(histogram(measured))
+    plan = cut(budgets(first, targets))
+    cuts = thresholds(measured, plan, first)
     part = plan.select("source", "full", "max_repeats", "rest").join(cuts, "source")
     used = measured.join(part, "source").select("doc_id", "source", "tokens", (F.col("full") + F.when((F.col("rest") > 0) & (F.col("h") < F.col("threshold")), 1).otherwise(0)).alias("uses"))
     spent = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"))

@@ -46,8 +46,13 @@ STOP = re.compile("[。，！？；：,;]")
 APART = re.compile("[\u3400-\u9fff）)](?:\\s{2,}| ?[/|·;,] ?|\\s)[\u3400-\u9fff（(]|\\s{2,}")
 LETTER = re.compile(r"[^\W\d_]+")
 
-STATS = ["words", "word_length", "symbols", "ends", "common", "broken", "unprosaic"]
-STAT_ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("lang", T.StringType()), *(T.StructField(s, T.DoubleType()) for s in STATS)])
+SENTENCE_END = re.compile(r"[.!?](?=\s|$)|[。！？]")
+
+#: The statistics that are ranked, and which tail of each tells that a text isn't prose; 0: either.
+STATS = {"words": 0, "word_length": 0, "symbols": 1, "ends": -1, "common": -1, "broken": 1, "stops": -1}
+STAT_ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("script", T.StringType()), *(T.StructField(s, T.DoubleType()) for s in (*STATS, "unprosaic"))])
+#: Labels of fewer texts are ranked with all texts of their script.
+LEAST_GROUP = 200
 
 
 def _count(runs: re.Pattern, text: str) -> int:
@@ -112,8 +117,8 @@ def unprosaic(line: str) -> bool:
     return not _garbled(line)
 
 
-def _statistics(text: str) -> tuple[float, ...]:
-    """Words, mean word length, share of symbols, of lines ending in punctuation, of common words, of words that break off; then the share of unprosaic text."""
+def _statistics(text: str) -> tuple:
+    """The script; words, mean word length, shares of symbols, of lines ending in punctuation, of common words, of words that break off, sentence ends a word; then the share of unprosaic text."""
     words = text.split()
     wide = 0 if text.isascii() else _count(WIDE, text)
     size = max(1, sum(map(len, words)))
@@ -131,7 +136,8 @@ def _statistics(text: str) -> tuple[float, ...]:
         if not code and unprosaic(line):
             bad += n
     units = max(1.0, len(words) + wide * 0.6)  # about five thirds of an ideograph make a word
-    return (units, size / units, (size - letters) / size, ended / max(1, len(lines)), hits / units, len(GAPS.findall(text)) / units, bad / max(1, content))
+    ranked = (units, size / units, (size - letters) / size, ended / max(1, len(lines)), hits / units, len(GAPS.findall(text)) / units, len(SENTENCE_END.findall(text)) / units)
+    return ("wide" if wide * 3 > letters else "narrow", *ranked, bad / max(1, content))
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,33 +153,56 @@ def base_language(lang: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """(id, lang, the statistics, unprosaic) of docs(id, lang, text); a null text counts as an empty one: one word, all symbol, the other shares 0.
+    """(id, lang, script, the statistics, unprosaic) of docs(id, lang, text); a null text counts as an empty one: one word, all symbol, the other shares 0.
 
     Rows without id have no statistics.
     """
     return docs.select("id", base_language(F.col("lang")).alias("lang"), "text").where("id is not null").mapInPandas(_rows, STAT_ROW)
 
 
+def with_group(stats: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
+    """stats with the column group, in which a text is ranked: its label, or its script.
+
+    A label counts if at least least texts of the script have it and most of its texts are of the script: texts with rare, wrong or no
+    labels are held against all texts of their script, so that no small group hides them.
+    """
+    many = stats.groupBy("lang", "script").agg(F.count("*").alias("_n"))
+    of_label = many.groupBy("lang").agg(F.sum("_n").alias("_all"))
+    good = many.join(of_label, "lang").where((F.col("_n") >= least) & (F.col("_n") * 2 > F.col("_all")) & (F.col("lang") != "und")).select("lang", "script", F.col("lang").alias("_own"))
+    return stats.join(good, ["lang", "script"], "left").withColumn("group", F.coalesce("_own", "script")).drop("_own")
+
+
 def outlier_scores(stats: DataFrame) -> DataFrame:
-    """(id, score): the sum over the statistics of -log of the smaller tail probability in the text's language.
+    """(id, group, score): the sum over the statistics of -log of the tail probability in the text's group, column group of stats.
 
-    Both tails of each statistic are exact empirical distributions by language: group_cdf's ranks by range-partitioned sorting
-    with partition offsets. A tail holds at least the text itself; ties share their tail. A repeated id has one row, the mean of its rows' scores.
+    The tails are exact empirical distributions by group: group_cdf's ranks by range-partitioned sorting with partition
+    offsets. The tail is the one that tells junk from prose; where either may, it is twice the smaller one. A tail holds at least
+    the text itself; ties share their tail. A repeated id has one row, the mean of its rows' scores.
     """
-    long = stats.select("id", "lang", F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATS])).alias("x")).select("id", "lang", "x.stat", "x.value")
-    cdf = group_cdf(long, ["stat", "lang"], "value")
-    tail = F.least(F.col("upto") / F.col("size"), (F.col("size") - F.col("below")) / F.col("size"))
-    return long.join(cdf.withColumn("tail", tail), ["stat", "lang", "value"]).groupBy("id").agg((F.sum(-F.log("tail")) / (F.count("*") / len(STATS))).alias("score"))
+    each = [F.struct(F.lit(s).alias("stat"), F.lit(side).alias("side"), F.col(s).alias("value")) for s, side in STATS.items()]
+    long = stats.select("id", "group", F.explode(F.array(*each)).alias("x")).select("id", "group", "x.stat", "x.side", "x.value")
+    cdf = group_cdf(long, ["stat", "group"], "value")
+    low, high = F.col("upto") / F.col("size"), (F.col("size") - F.col("below")) / F.col("size")
+    tail = F.when(F.col("side") < 0, low).when(F.col("side") > 0, high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
+    joined = long.join(cdf, ["stat", "group", "value"])
+    return joined.groupBy("id", "group").agg((F.sum(-F.log(tail)) / (F.count("*") / len(STATS))).alias("score"))
+
+
+def outliers(stats: DataFrame, *, quantile: float = 0.5) -> DataFrame:
+    """(id, score) of the texts whose score is at least that of the given share of their group: the cut follows from the group's own scores."""
+    scores = cut(outlier_scores(cut(with_group(stats))))
+    cdf = group_cdf(scores, ["group"], "score").where(F.col("upto") >= F.col("size") * quantile).select("group", "score")
+    return scores.join(cdf, ["group", "score"], "left_semi").select("id", "score")
 
 
-def not_prose(docs: DataFrame, *, least_score: float = 8.0, most: float = 0.5) -> DataFrame:
+def not_prose(docs: DataFrame, *, quantile: float = 0.5, most: float = 0.5) -> DataFrame:
     """(id, score, unprosaic): texts that stand out by their statistics and more than most of which is no prose, line by line.
 
-    The score chooses the texts; the line check then confirms them. Empty and null texts are never among them. Repeated
-    rows come out as often.
+    The scores choose the texts; the line check, which isn't among the statistics, then confirms them. Empty and null
+    texts are never among them. Repeated rows come out as often.
     """
     stats = cut(statistics(docs))
-    return stats.select("id", "unprosaic").join(outlier_scores(stats), "id").where((F.col("score") >= least_score) & (F.col("unprosaic") > most)).select("id", "score", "unprosaic")
+    return stats.where(F.col("unprosaic") > most).select("id", "unprosaic").join(outliers(stats, quantile=quantile), "id").select("id", "score", "unprosaic")
 
 
 def _parents(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +218,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
     stats = cut(statistics(_parents(spark, d)))
-    return stats.join(outlier_scores(stats), "id")
+    return stats.join(outlier_scores(with_group(stats)).drop("group"), "id")
 
 
 QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics}
