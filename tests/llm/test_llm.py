@@ -39,18 +39,26 @@ def test_scores_equal_brute_force_tails(spark):
     import math
 
     rows = [(i, RNG.choice(["en", "zh"]), *[RNG.randrange(5) / 4 for _ in quality.STATS]) for i in range(80)]
-    df = spark.createDataFrame(rows, "id long, lang string, " + ", ".join(f"{s} double" for s in quality.STATS))
+    df = spark.createDataFrame(rows, "id long, group string, " + ", ".join(f"{s} double" for s in quality.STATS))
     got = {r.id: r.score for r in quality.outlier_scores(df).collect()}
     for r in rows:
         peers = [x for x in rows if x[1] == r[1]]
         want = 0.0
-        for k in range(2, len(r)):
-            n = len(peers)
-            want -= math.log(min(sum(x[k] <= r[k] for x in peers), sum(x[k] >= r[k] for x in peers)) / n)
+        for k, side in enumerate(quality.STATS.values(), 2):
+            low, high = (sum(op(x[k], r[k]) for x in peers) / len(peers) for op in (float.__le__, float.__ge__))
+            want -= math.log(low if side < 0 else high if side > 0 else min(1, 2 * min(low, high)))
         assert got[r[0]] == pytest.approx(want)
     assert quality.outlier_scores(df.limit(0)).count() == 0
 
 
+def test_scores_rule_out_half_of_each_language_and_small_labels_are_ranked_with_their_script(spark):
+    rows = [(k, "en" if k < 60 else "xx", "narrow", *[float(RNG.randrange(1000)) for _ in range(len(quality.STATS) + 1)]) for k in range(64)]
+    stats = spark.createDataFrame(rows, quality.STAT_ROW)
+    groups = {r.lang: r.group for r in quality.with_group(stats, least=50).collect()}
+    assert groups == {"en": "en", "xx": "narrow"}
+    assert quality.outliers(stats).count() <= 34
+
+
 # ---- 2
 
 
@@ -103,6 +111,43 @@ def test_many_exact_copies_make_no_pairs(spark):
     assert dedup.admit(spark.createDataFrame([], "id long, batch long, text string"))[0].count() == 0
 
 
+def test_edits_spread_over_a_text(spark):
+    rng = random.Random(3)
+    for every in (8, 10, 12, 16, 20):
+        docs = []
+        for k in range(60):
+            ws = [f"w{rng.randrange(10**7)}" for _ in range(240)]
+            edited = [f"x{rng.randrange(10**7)}" if i % every == every - 1 else w for i, w in enumerate(ws)]
+            assert dedup.shared_share(ws, edited) >= 0.75
+            docs += [(2 * k, 1, " ".join(ws)), (2 * k + 1, 2, " ".join(edited))]
+        refused, _ = dedup.admit(spark.createDataFrame(docs, "id long, batch long, text string"))
+        got = {r.id: r.repeats for r in refused.collect()}
+        assert all(a == b + 1 for a, b in got.items()) and len(got) >= 57, (every, len(got))
+
+
+def test_the_number_of_texts_with_a_window_doesnt_change_the_result(spark):
+    rng = random.Random(4)
+    for n in (10, 40):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(12)]
+        docs = [(k, 1, " ".join(base + [f"own{n}x{k}x{j}" for j in range(3)])) for k in range(n)] + [(999, 2, " ".join(base))]
+        refused, _ = dedup.admit(spark.createDataFrame(docs, "id long, batch long, text string"))
+        assert {r.id: r.repeats for r in refused.collect()} == {**{k: 0 for k in range(1, n)}, 999: 0}
+
+
+def test_bounds_never_exceed_the_metric_and_loads_keep_the_order(spark):
+    texts = [" ".join(RNG.choice(VOCABULARY) for _ in range(RNG.randrange(60, 90))) for _ in range(24)]
+    rows = dedup.fingerprints(spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "id long, batch long, text string"))
+    pairs = rows.alias("a").join(rows.alias("b"), F.expr("a.id < b.id")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), dedup.may_repeat(0.75).alias("may")).collect()
+    for r in pairs:
+        x, y = words(texts[r.x]), words(texts[r.y])
+        near = dedup.distance(x, y) <= len(x) + len(y) - 1.5 * max(len(x), len(y))
+        assert r.may or not near
+    assert dedup.loads_of([(1, 100), (2, 10), (3, 30), (4, 20), (5, 5)]) == [[1], [2, 3, 4], [5]]
+    docs = spark.createDataFrame(near_copies(), "id long, batch long, text string")
+    together = {r.id: r.repeats for r in dedup.admit(docs)[0].collect()}
+    assert {r.id: r.repeats for r in dedup.take_batches(docs)[0].collect()} == together
+
+
 # ---- 3
 
 
@@ -133,6 +178,27 @@ def test_a_notice_in_one_long_line_is_told_from_the_article(spark):
     assert (got - want, want - got) == (set(), set())
 
 
+def test_a_notice_of_one_line_before_long_paragraphs(spark):
+    rng = random.Random(6)
+    for length, words_in in ((238, 80), (190, 20)):
+        notice = " ".join(sentence(12, rng) for _ in range(8))[:length]
+        rows = [(k, "https://acme.example/p", "\n".join([notice, f"# {sentence(4, rng)}", sentence(words_in, rng), "", sentence(words_in, rng)])) for k in range(12)]
+        got = {(r.id, r.line_no) for r in boilerplate.boilerplate_lines(spark.createDataFrame(rows, "id long, source_doc string, text string")).collect()}
+        assert got == {(k, 1) for k in range(12)}
+
+
+def test_a_heading_that_recurs_inside_articles_is_no_template_but_a_class_before_them_is(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        menu = ["Home | Docs | Contact"] if k % 4 == 0 else []
+        inside = ["## Background"] if k % 10 == 0 else []
+        rows.append((k, "https://acme.example/p", "\n".join([*menu, f"# {sentence(4, rng)}", sentence(20, rng), *inside, sentence(20, rng)])))
+    df = spark.createDataFrame(rows, "id long, source_doc string, text string")
+    got = {(r.id, r.line_no) for r in boilerplate.boilerplate_lines(df).collect()}
+    assert got == {(k, 1) for k in range(0, 60, 4)}
+
+
 # ---- 4
 
 
@@ -151,6 +217,38 @@ def test_wrong_code_pages_are_found_and_undone(spark):
         assert restored[i] == "fine line\n" + sound[k]
 
 
+RUSSIAN = ["мы не знали что делать дальше", "утром команда снова проверила журнал", "никто не ожидал такого ответа", "потом работа пошла быстрее чем раньше", "они долго обсуждали этот вопрос вместе"]
+
+
+def test_code_pages_nobody_listed(spark):
+    french = ["Le café d’été est déjà très naïf, voilà.", "Où est passée la clé, a-t-il demandé à sa sœur aînée ?"]
+    rows = [(k, "fr", f"{french[k % 2]}\n{french[(k + 1) % 2]} {k}") for k in range(100)]
+    rows += [(200 + k, "ru", "\n".join(RUSSIAN[(k + j) % 5] for j in range(3)) + f" {k}") for k in range(100)]
+    bad, want = [], {}
+    for i, (right, wrong, text, source) in enumerate(
+        [("utf-8", "cp1253", french[0], "fr"), ("utf-8", "cp866", french[0], "fr"), ("utf-8", "iso8859_5", french[0], "fr"), ("utf-8", "iso8859_2", french[0], "fr")]
+        + [(a, b, "\n".join(RUSSIAN), "ru") for a, b in (("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866"))]
+    ):
+        try:
+            garbled = text.encode(right).decode(wrong)
+        except UnicodeError:  # a byte that the page doesn't have
+            continue
+        bad.append((1000 + i, source, garbled))
+        want[1000 + i] = text
+    docs = spark.createDataFrame(rows + bad, "id long, source string, text string")
+    solved = encoding.solve(encoding.pieces(docs)).cache()
+    assert {r.id for r in encoding.found_ids(solved).collect()} == set(want) and len(want) >= 5
+    assert {r.id: r.text for r in encoding.restore(docs, solved).collect()} == want
+
+
+def test_a_sources_table_restores_what_has_no_reading_of_its_own(spark):
+    solved = spark.createDataFrame([(1, "s", 1, "a>b", 50.0, "ÑÒ", "шт", 0.99), (1, "s", 2, "a>utf-8", 50.0, "Ã©Ã¨", "éè", 0.99)], "id long, source string, line_no int, swap string, gain double, garbled string, restored string, share double")
+    table = {(r.symbols, r.letter) for r in encoding.substitutions(solved).collect()}
+    assert table == {("Ñ", "ш"), ("Ò", "т"), ("Ã©", "é"), ("Ã¨", "è")}
+    docs = spark.createDataFrame([(1, "s", "ÑÒ\nÃ©Ã¨ et Ã¨\nÒÑ")], "id long, source string, text string")
+    assert encoding.restore(docs, solved).first().text == "шт\néè et è\nтш"
+
+
 # ---- 5
 
 
@@ -189,6 +287,14 @@ def test_sequences_of_any_length(spark):
     assert got == want
 
 
+def test_a_long_footer_is_one_block(spark):
+    footer = [f"footer line {w} of this site" for w in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(k, f"https://a.example/{k}", "\n".join([sentence(), *footer])) for k in range(6)] + [(9, "https://a.example/9", sentence())]
+    df = spark.createDataFrame(rows, "id long, source_doc string, text string")
+    got = {(r.id, r.line_no) for r in lines.repeated_lines(df).collect()}
+    assert got == {(k, n) for k in range(6) for n in range(2, 28)}
+
+
 # ---- 6
 
 
@@ -205,6 +311,19 @@ def test_languages_of_held_out_paragraphs(spark):
     assert got == {(1, 2, "zh"), (2, 0, "zh")}
 
 
+def test_a_language_that_no_model_knows_is_rejected_and_short_headings_in_another_script_count(spark):
+    rng = random.Random(9)
+    en = ["the team looked at the report and found nothing new in it", "nobody could say why the numbers had changed so much", "after the review we wrote down what had to be done next", "it was not clear which of them would be the first to try"]
+    zh = ["评审小组想知道临时病历能否解释下降", "但是没有人预料到这个结果", "我们团队列出了所有的理由", "大家都知道这个问题不是很难"]
+    text = lambda some: "\n\n".join(". ".join(rng.choice(some) for _ in range(3)) for _ in range(3))
+    docs = spark.createDataFrame([(k, "en" if k % 2 else "zh", text(en if k % 2 else zh)) for k in range(80)], "id long, lang string, text string")
+    models = language.train(docs)
+    polish = "nikt nie wiedział dlaczego liczby zmieniły się tak bardzo w ciągu jednego dnia i co teraz trzeba zrobić"
+    assert models.classify([polish])[0][0] == "und" and models.classify([en[0] + ". " + en[2]])[0][0] == "en"
+    mixed = spark.createDataFrame([(1, "en", f"{text(en)}\n\n## 大家知道理由\n\n{text(en)}")], "id long, lang string, text string")
+    assert [(r.para_no, r.lang) for r in language.language_errors(mixed, models).collect()] == [(4, "zh")]
+
+
 def test_probabilities_of_a_context_sum_to_at_most_one():
     models = language._fitted([("a", "abab abba baab " * 5), ("b", "cdcd dccd ddcc " * 5)])
     models.index()
