@@ -127,7 +127,7 @@ class Models:
         cell = (parts[0] * NARROW + parts[1]) * NARROW + parts[2]
         self.direct[cell[inside]] = np.nonzero(inside)[0]
 
-    def calibrate(self, texts: list[tuple[str, str]], *, spread: float = 4.0) -> None:
+    def calibrate(self, texts: list[tuple[str, str]], *, spread: float = 8.0) -> None:
         """A bound for the cross-entropy of each language from paragraphs that the models were not trained on: what is above it is rejected.
 
         Shorter paragraphs vary more: the bound for n characters is mean + spread * deviation * sqrt(1 + 100 / n).
@@ -226,6 +226,11 @@ def sample(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> DataFrame
     return labelled.withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language).select("lang", "text")
 
 
+def _is_wide(text: str) -> bool:
+    """Much of the text is ideographs or kana."""
+    return 3 * sum("\u3040" <= c <= "\u9fff" for c in text) > len(text)
+
+
 def _fitted(rows: list[tuple[str, str]], held_out: list[tuple[str, str]] | None = None) -> Models:
     """Models of the rows; the bounds for rejection come from held_out, or else from models of either half of the rows on the other."""
     models = Models(pd.concat(list(_count(iter([pd.DataFrame(rows, columns=["lang", "text"])])))))
@@ -245,7 +250,7 @@ def _told(models: Models, rows: list[tuple[str, str]], least: float) -> list[tup
 def train(docs: DataFrame, *, per_language: int = TEXTS_PER_LANGUAGE) -> Models | None:
     """Models of the languages that label at least one text, trained on a bounded sample of labelled texts.
 
-    Labels may be wrong, and texts mixed. First each half of the sample is told by models of the other half, as whole texts: a model
+    Labels may be wrong, and texts mixed. Texts in another script than most texts of their label are left out. Then each half of the sample is told by models of the other half, as whole texts: a model
     that saw a wrongly labelled text would take it for its own. Models of the texts so told then tell the
     paragraphs, and the final models are trained on those that have their text's language. None if no labelled text has 40 characters.
     """
@@ -253,17 +258,35 @@ def train(docs: DataFrame, *, per_language: int = TEXTS_PER_LANGUAGE) -> Models
     whole = [(lang, body) for lang, t in texts if len(body := "\n\n".join(p for _, p, code in paragraphs(t) if not code)) >= 40]
     if not whole:
         return None
-    halves = [whole[0::2], whole[1::2]]
-    if min(map(len, halves)) == 0 or any({x for x, _ in h} != {x for x, _ in whole} for h in halves):
-        told = whole
-    else:
-        told = _told(_fitted(halves[0], halves[1]), halves[1], 0.9) + _told(_fitted(halves[1], halves[0]), halves[0], 0.9)
-    pieces = [(lang, p) for lang, t in told for _, p, _ in paragraphs(t) if len(p) >= 3]
-    said = _told(_fitted(told, told), pieces, 0.0)
-    kept = {(lang, p) for lang, p in said}
+    whole = _of_usual_script(whole)
+    told = _told_across(whole, whole, 0.9)
+    pieces = _of_usual_script([(lang, p) for lang, t in told for _, p, _ in paragraphs(t) if len(p) >= 3])
+    kept = set(_told_across(pieces, told, 0.0))
     return _fitted([x for x in pieces if x in kept] or told)
 
 
+def _of_usual_script(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Without the texts that are in another script than most of their language's."""
+    votes = Counter((lang, _is_wide(t)) for lang, t in rows)
+    return [(lang, t) for lang, t in rows if votes[lang, _is_wide(t)] >= votes[lang, not _is_wide(t)]]
+
+
+def _told_across(rows: list[tuple[str, str]], train_on: list[tuple[str, str]], least: float) -> list[tuple[str, str]]:
+    """The rows with the language that models of the other half of train_on give them: every second text by the models of the others.
+
+    Where a half lacks a language, the rows stay as they are. A row of train_on is in the half that its text has in it.
+    """
+    place = {t: k % 2 for k, (_, t) in enumerate(train_on)}
+    halves = [train_on[0::2], train_on[1::2]]
+    if any({x for x, _ in h} != {x for x, _ in train_on} for h in halves):
+        return rows
+    of_text = {p: place[t] for t in place for _, p, _ in paragraphs(t)} | place
+    out = []
+    for k in (0, 1):
+        out += _told(_fitted(halves[1 - k], halves[k]), [x for x in rows if of_text.get(x[1], 0) == k], least)
+    return out
+
+
 def _majority(langs: list[str], confidences: list[float], sizes: list[int]) -> str:
     """The language of most paragraphs, sure ones if there are any; in ties that of more characters, then the first by name."""
     sure = [k for k, c in enumerate(confidences) if c >= 0.8 and langs[k] != "und"] or [k for k, x in enumerate(langs) if x != "und"]

