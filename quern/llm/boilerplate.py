@@ -95,7 +95,7 @@ def _page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     whole, parts, prefix = line_tokens(line, host or "")
                     if len(line) <= 200:  # only short lines are menus or labels
                         for t in (*parts, *([prefix] if prefix is not None else [])):
-                            note(t, k, False, False)
+                            note(t, k, False, line.lstrip().startswith("#"))
                     note(whole, k, prose[k], line.lstrip().startswith("#"))
             rows += ((host, t, page, *x) for t, x in seen.items())
         yield pd.DataFrame(rows, columns=TOKEN.names).astype({"token": "int64", "page": "int64", "at": "int32", "times": "int32", "prose": "bool", "heading": "bool"})
@@ -137,10 +137,10 @@ def template_tokens(pages: DataFrame, *, host_share: float = 0.05, all_share: fl
     The template is made of the equivalence classes that occur in at least least pages, with different articles, and in the
     share host_share of the host's pages, and that nest: their tokens keep one order, and a class lies in one slot of the
     page in the share nested of its pages, before the article, inside its span or after it. A class that floats from slot to slot, or a
-    single heading inside the article, is of the template only with strong times the support: an article's own headings and labels
+    heading inside the article, is of the template only with strong times the support: an article's own headings and labels
     recur too. A token's place is "tail" where it hardly ever has prose after it. Pages with the same prose lines
-    count once, so copies of one article don't make it a template. Over all hosts, tokens are
-    counted in the same way, for hosts with few pages.
+    count once, so copies of one article don't make it a template. Over all hosts, tokens of at
+    least two hosts are counted in the same way, for hosts with few pages.
     """
     tokens = pages.mapInPandas(_page_tokens, TOKEN)
     once = cut(tokens.groupBy("host", "token", "page").agg(F.max("at").alias("at"), F.max("times").alias("times"), F.max("prose").alias("prose"), F.max("heading").alias("heading")))
@@ -150,13 +150,14 @@ def template_tokens(pages: DataFrame, *, host_share: float = 0.05, all_share: fl
     classes = template_classes(placed).join(sizes, "host")
     inside = lambda k: F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc + t[f"in{k}"])
     one_slot = F.greatest(*(inside(k) for k in range(3))) >= nested * F.col("n") * F.col("size")
-    own_heading = (F.col("size") == 1) & F.exists("tokens", lambda t: t["heading"]) & (inside(1) * 2 >= F.col("n"))
+    own_heading = F.forall("tokens", lambda t: t["heading"]) & (inside(1) * 2 >= F.col("n") * F.col("size"))
     support = F.col("pages") * host_share
     valid = (F.col("n") >= least) & (F.col("n") >= support) & (F.col("ordered") >= 0.9) & ((one_slot & ~own_heading) | (F.col("n") >= strong * support))
     each = classes.where(valid).select("host", "n", F.explode("tokens").alias("t"))
     by_host = each.select("host", "t.token", ((F.col("t.in0") + F.col("t.in1")) < 0.25 * F.col("n")).alias("tail"), F.lit(True).alias("strong"))
-    everywhere = placed.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("slot") < 2).alias("followed"), F.max("heading").alias("heading")).join(F.broadcast(total))
-    everywhere = everywhere.where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * all_share))
+    of_host = placed.groupBy("token", "host").agg(F.count("*").alias("n"), F.count_if(F.col("slot") < 2).alias("followed"), F.count_if(F.col("heading") & (F.col("slot") == 1)).alias("headed"))
+    everywhere = of_host.groupBy("token").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"), F.sum("headed").alias("headed"), F.count("*").alias("hosts")).join(F.broadcast(total))
+    everywhere = everywhere.where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * all_share) & (F.col("hosts") > 1) & ((F.col("headed") * 2 < F.col("n")) | (F.col("n") >= strong * all_share * F.col("pages"))))
     return by_host, everywhere.select("token", (F.col("followed") < 0.25 * F.col("n")).alias("tail"), (F.col("n") >= 4 * all_share * F.col("pages")).alias("strong"))
 
 

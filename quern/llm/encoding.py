@@ -58,7 +58,7 @@ FOUR = re.compile("[^\x00-\x7f]{4}")
 WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
 CONTROL = re.compile("[\x80-\x9f]")
 NARROW_RUN = re.compile("[^\x00-\x7f\u3000-\u30ff\u3400-\u9fff\uac00-\ud7af\uff00-\uffef]+")
-#: Swaps of one single-byte page for another are tried where a run is so unlikely, in nats a character.
+#: Swaps of one single-byte page for another are tried where a line's characters are so rare in the corpus, in nats each.
 UNLIKELY = -8.0
 SHIFT = 21  # bits of a code point
 
@@ -227,12 +227,15 @@ def _suspicious(lm: Language, text: str) -> Iterator[tuple]:
             level = float(lm.single[c[wide]].mean())
             if n_wide * 2 > n_odd and level > -9.5 and lm.common[c[odd & ~wide]].all():
                 continue  # common characters of a wide script
-        for m in (NARROW_RUN if n_wide * 2 > n_odd else RUN).finditer(line):
+        runs = list((NARROW_RUN if n_wide * 2 > n_odd else RUN).finditer(line))
+        narrow = "".join(m[0] for m in runs if not WIDE.search(m[0]))
+        unlikely = len(narrow) > 0 and lm.flat(narrow) < UNLIKELY * len(narrow)  # of the line: a short run says little
+        for m in runs:
             piece = m[0]
             before, after = line[m.start() - 1 : m.start()] or "\n", line[m.end() : m.end() + 1] or "\n"
             ways = _run_ways(piece) if len(piece) <= 64 else _run_ways.__wrapped__(piece)
             now = lm.score(piece, before, after)
-            if not ways and now < UNLIKELY * (len(piece) + 1) and not WIDE.search(piece):
+            if not ways and unlikely and not WIDE.search(piece):
                 ways = _page_ways(piece) if len(piece) <= 64 else _page_ways.__wrapped__(piece)
             for swap, restored in ways:
                 gain = lm.score(restored, before, after) - now
@@ -314,7 +317,7 @@ def substitutions(solved: DataFrame) -> DataFrame:
     """(source, symbols, letter): each source's table, by the expected counts of all its pieces, whatever their length."""
     sure = solved.where("restored is not null and share > 0.01")
     each = sure.select("source", "share", F.explode(_units("garbled", "restored")).alias("u")).groupBy("source", "u.symbols", "u.letter").agg(F.sum("share").alias("n"))
-    return each.groupBy("source", "symbols").agg(F.max(F.struct("n", "letter")).alias("m"), F.sum("n").alias("all")).where("m.n > 0.5 and m.n > 0.5 * all").select("source", "symbols", F.col("m.letter").alias("letter"))
+    return each.groupBy("source", "symbols").agg(F.max(F.struct("n", "letter")).alias("m"), F.sum("n").alias("all")).where("m.n > 0.5 and m.n > 0.8 * all").select("source", "symbols", F.col("m.letter").alias("letter"))
 
 
 def found_ids(solved: DataFrame) -> DataFrame:
@@ -327,8 +330,9 @@ def found_ids(solved: DataFrame) -> DataFrame:
 def restore(docs: DataFrame, solved: DataFrame) -> DataFrame:
     """(id, text, lost): the found texts with their pieces replaced by the likeliest readings; lost: characters that can't be won back.
 
-    Lines with pieces of their own are rewritten by these; what is garbled still is rewritten by the source's table: symbols
-    that stand for a letter each by translate(), runs of symbols by replacement.
+    Runs that consist of the source's garbled symbols alone, at least two of them, are rewritten by the source's table: symbols
+    that stand for a letter each by translate(), as they have the evidence of the whole source. Other pieces are rewritten by
+    readings of their own, and those without one by the table's runs of symbols.
     """
     best = solved.where("restored is not null and share > 0.2").groupBy("id", "line_no", "garbled").agg(F.max(F.struct("share", "restored")).alias("m"))
     per = best.groupBy("id").agg(F.collect_list(F.struct("line_no", "garbled", F.col("m.restored").alias("restored"))).alias("pieces"))
@@ -341,44 +345,43 @@ def restore(docs: DataFrame, solved: DataFrame) -> DataFrame:
     side = lambda name: F.array_join(F.transform("ones", lambda x: x[name]), "")
     table = table.select(F.col("source").alias("_s"), side("symbols").alias("from_symbols"), side("letter").alias("to_letters"), "runs")
     both = docs.select("id", "source", "text").join(found_ids(solved), "id").dropDuplicates(["id"]).join(per, "id", "left").join(table, F.col("source").eqNullSafe(F.col("_s")), "left")
-    done = both.withColumn("text", _rewrite("text", "pieces", "runs"))
+    done = both.withColumn("text", _rewrite("text", "pieces", "runs", "from_symbols"))
     # what has readings of its own is marked, so that translate() passes it over
     parts = F.transform(F.split("text", OWN), lambda part, k: F.when(k % 2 == 1, part).otherwise(F.call_function("translate", part, F.coalesce("from_symbols", F.lit("")), F.coalesce("to_letters", F.lit("")))))
     out = done.select("id", F.array_join(parts, "").alias("text"))
     return out.withColumn("lost", F.length("text") - F.length(F.regexp_replace("text", LOST, "")))
 
 
-#: Set around lines that need no table any more.
+#: Set around what needs no table any more.
 OWN = "\ue0ff"
 
 
 @F.pandas_udf(T.StringType())
-def _rewrite(texts: pd.Series, pieces: pd.Series, tables: pd.Series) -> pd.Series:
+def _rewrite(texts: pd.Series, pieces: pd.Series, runs: pd.Series, ones: pd.Series) -> pd.Series:
     out = []
-    for text, some, table in zip(texts, pieces, tables, strict=True):
+    for text, some, table, single in zip(texts, pieces, runs, ones, strict=True):
         own: dict[int, dict[str, str]] = {}
         for x in some if some is not None else []:
             own.setdefault(x["line_no"], {})[x["garbled"]] = x["restored"]
-        common = {x["symbols"]: x["letter"] for x in (table if table is not None else [])}
-        runs = re.compile("|".join(map(re.escape, sorted(common, key=len, reverse=True)))) if common else None
+        units = {x["symbols"]: x["letter"] for x in (table if table is not None else [])}
+        known = re.compile("|".join(map(re.escape, sorted(units, key=len, reverse=True)))) if units else None
+        letters = set(single or "")
+
+        def swap(m: re.Match, mine: dict, units: dict = units, known: re.Pattern | None = known, letters: set = letters) -> str:
+            run = m[0]
+            if len(run) > 1 and letters.issuperset(run):
+                return run  # left to translate()
+            if run in mine:
+                return f"{OWN}{mine[run]}{OWN}"
+            if known and len(run) > 1 and not known.sub("", run):
+                return f"{OWN}{known.sub(lambda x: units[x[0]], run)}{OWN}"
+            return f"{OWN}{run}{OWN}"
+
         lines = text.replace(OWN, "").split("\n")
         for no, line in enumerate(lines, 1):
-            if line.isascii():
-                continue
-            mine = own.get(no)
-            if mine is None:  # sound, or garbled in a way that only the source's table knows
-                lines[no - 1] = f"{OWN}{line}{OWN}"
-                continue
-            if line in mine:
-                lines[no - 1] = f"{OWN}{mine[line]}{OWN}"
-                continue
-
-            def swap(m: re.Match, mine: dict = mine) -> str:
-                if m[0] in mine:
-                    return f"{OWN}{mine[m[0]]}{OWN}"
-                return runs.sub(lambda x: common[x[0]], m[0]) if runs else m[0]
-
-            lines[no - 1] = (NARROW_RUN if WIDE.search(line) else RUN).sub(swap, line)
+            if not line.isascii():
+                mine = own.get(no, {})
+                lines[no - 1] = f"{OWN}{mine[line]}{OWN}" if line in mine else (NARROW_RUN if WIDE.search(line) else RUN).sub(lambda m, mine=mine: swap(m, mine), line)
         out.append("\n".join(lines))
     return pd.Series(out)
 

@@ -248,13 +248,17 @@ def _told(models: Models, rows: list[tuple[str, str]], least: float) -> list[tup
 
 
 def train(docs: DataFrame, *, per_language: int = TEXTS_PER_LANGUAGE) -> Models | None:
-    """Models of the languages that label at least one text, trained on a bounded sample of labelled texts.
+    """Models of the languages that label at least one text, trained on a bounded sample of labelled texts; None if no labelled text has 40 characters."""
+    return models_of(sorted((x["lang"], x["text"]) for x in sample(docs, per_language).toLocalIterator()))
 
-    Labels may be wrong, and texts mixed. Texts in another script than most texts of their label are left out. Then each half of the sample is told by models of the other half, as whole texts: a model
-    that saw a wrongly labelled text would take it for its own. Models of the texts so told then tell the
-    paragraphs, and the final models are trained on those that have their text's language. None if no labelled text has 40 characters.
+
+def models_of(texts: list[tuple[str, str]]) -> Models | None:
+    """Models of labelled texts (language, text), though labels may be wrong and texts mixed.
+
+    Texts in another script than most texts of their label are left out. Then each half of the texts is told by models of
+    the other half: a model that saw a wrongly labelled text would take it for its own. The paragraphs of texts so
+    told are told in the same way, and the final models are trained on those that have their text's language.
     """
-    texts = sorted((x["lang"], x["text"]) for x in sample(docs, per_language).toLocalIterator())
     whole = [(lang, body) for lang, t in texts if len(body := "\n\n".join(p for _, p, code in paragraphs(t) if not code)) >= 40]
     if not whole:
         return None

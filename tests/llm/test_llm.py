@@ -222,11 +222,11 @@ RUSSIAN = ["мы не знали что делать дальше", "утром
 def test_code_pages_nobody_listed(spark):
     french = ["Le café d’été est déjà très naïf, voilà.", "Où est passée la clé, a-t-il demandé à sa sœur aînée ?"]
     rows = [(k, "fr", f"{french[k % 2]}\n{french[(k + 1) % 2]} {k}") for k in range(100)]
-    rows += [(200 + k, "ru", "\n".join(RUSSIAN[(k + j) % 5] for j in range(3)) + f" {k}") for k in range(100)]
+    rows += [(200 + k, f"ru{k % 3}", "\n".join(RUSSIAN[(k + j) % 5] for j in range(3)) + f" {k}") for k in range(100)]
     bad, want = [], {}
     for i, (right, wrong, text, source) in enumerate(
         [("utf-8", "cp1253", french[0], "fr"), ("utf-8", "cp866", french[0], "fr"), ("utf-8", "iso8859_5", french[0], "fr"), ("utf-8", "iso8859_2", french[0], "fr")]
-        + [(a, b, "\n".join(RUSSIAN), "ru") for a, b in (("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866"))]
+        + [(a, b, "\n".join(RUSSIAN), f"ru{k}") for k, (a, b) in enumerate((("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866")))]
     ):
         try:
             garbled = text.encode(right).decode(wrong)
@@ -310,17 +310,26 @@ def test_languages_of_held_out_paragraphs(spark):
     assert got == {(1, 2, "zh"), (2, 0, "zh")}
 
 
+@needs_data
 def test_a_language_that_no_model_knows_is_rejected_and_short_headings_in_another_script_count(spark):
+    models = language.train(language._parents(spark, DATA))
+    en = "The working group looked at the report again, because nobody could agree on what the survey had to say."
+    for unknown in ("nikt nie wiedział dlaczego liczby zmieniły się tak bardzo w ciągu jednego dnia i co teraz trzeba zrobić", "kukaan ei osannut sanoa miksi luvut olivat muuttuneet niin paljon yhden päivän aikana ja mitä nyt pitäisi tehdä"):
+        assert models.classify([unknown])[0][0] == "und"
+    assert models.classify([en])[0][0] == "en"
+    mixed = spark.createDataFrame([(1, "en", f"{en}\n\n{en}\n\n## 我们的团队\n\n{en}")], "id long, lang string, text string")
+    assert [(r.para_no, r.lang) for r in language.language_errors(mixed, models).collect()] == [(3, "zh")]
+
+
+def test_wrong_labels_and_mixed_texts_dont_reach_the_models():
     rng = random.Random(9)
-    en = ["the team looked at the report and found nothing new in it", "nobody could say why the numbers had changed so much", "after the review we wrote down what had to be done next", "it was not clear which of them would be the first to try"]
-    zh = ["评审小组想知道临时病历能否解释下降", "但是没有人预料到这个结果", "我们团队列出了所有的理由", "大家都知道这个问题不是很难"]
+    en = ["the team looked at the report and found nothing new in it", "nobody could say why the numbers had changed so much", "after the review we wrote down what had to be done next"]
+    zh = ["评审小组想知道临时病历能否解释下降", "但是没有人预料到这个结果", "我们团队列出了所有的理由"]
     text = lambda some: "\n\n".join(". ".join(rng.choice(some) for _ in range(3)) for _ in range(3))
-    docs = spark.createDataFrame([(k, "en" if k % 2 else "zh", text(en if k % 2 else zh)) for k in range(80)], "id long, lang string, text string")
-    models = language.train(docs)
-    polish = "nikt nie wiedział dlaczego liczby zmieniły się tak bardzo w ciągu jednego dnia i co teraz trzeba zrobić"
-    assert models.classify([polish])[0][0] == "und" and models.classify([en[0] + ". " + en[2]])[0][0] == "en"
-    mixed = spark.createDataFrame([(1, "en", f"{text(en)}\n\n## 大家知道理由\n\n{text(en)}")], "id long, lang string, text string")
-    assert [(r.para_no, r.lang) for r in language.language_errors(mixed, models).collect()] == [(4, "zh")]
+    rows = [("en", text(en)) for _ in range(40)] + [("zh", text(zh)) for _ in range(40)] + [("en", text(zh)) for _ in range(6)] + [("en", f"{text(en)}\n\n{zh[1]}") for _ in range(6)]
+    models = language.models_of(sorted(rows))
+    scores = models.scores([zh[1]])[0]
+    assert scores[models.langs.index("en")] < -8 < scores[models.langs.index("zh")]
 
 
 def test_probabilities_of_a_context_sum_to_at_most_one():
