@@ -48,7 +48,6 @@ def url_host(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Words of letters and digits in lower case, and the overlapping pairs of neighbouring ideographs."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(c), CJK, " "), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
-    runs = F.filter(F.split(c, "[^\\u4e00-\\u9fff]+"), lambda x: F.length(x) > 1)
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    words = F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}&&[^\\u4e00-\\u9fff]]+"), F.lit(0))
+    pairs = F.regexp_extract_all(c, F.lit("(?=([\\u4e00-\\u9fff]{2}))"), F.lit(1))
     return F.concat(words, pairs)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.weights import RRF_K, contribution
-from quern.operators.fusion import fuse_positions
+from quern.functions.weights import REWRITE_DAMPEN, RRF_K, contribution, route_label
+from quern.operators.fusion import fuse_positions, provenance
+from quern.operators.search import fused_hits, readable, route_hits, routes, vector_routes
+from quern.operators.vectors import collapse_parents
 
 
 def contributions(scans: DataFrame) -> DataFrame:
@@ -55,3 +57,48 @@ def diagnose(scans: DataFrame, targets: DataFrame, *, k: int = 5, dampen: float
         .otherwise("in the top k")
     )
     return d.select("qid", hit.alias("hit_routes"), F.array_except("routes", hit).alias("missed_routes"), F.round(F.coalesce(score, F.lit(0.0)), 9).alias("fused_score"), "fused_rank", verdict.alias("verdict"))
+
+
+def scan_depth(k: int, scan_k: int | None = None) -> int:
+    return scan_k if scan_k and scan_k > 0 else max(10 * k, 100)
+
+
+def scan_routes(queries: DataFrame, docs: DataFrame, *, k: int = 5, scan_k: int | None = None, parents: DataFrame | None = None, **weighing: object) -> DataFrame:
+    """(qid, route, doc_id, rank, distance, weight): each route's nearest documents, far deeper than search goes.
+
+    parents(doc_id, parent_id), if given, tells that docs are parts: each parent then stands at its best part's place, ranks close up.
+    """
+    r = routes(queries, **weighing)
+    near = vector_routes(r, docs, scan_depth(k, scan_k))
+    if parents is not None:
+        keyed = near.select(F.struct("qid", "route").alias("qid"), "doc_id", "distance", "rank")
+        near = collapse_parents(keyed, parents).select("qid.qid", "qid.route", F.col("parent_id").alias("doc_id"), "rank", "distance")
+    return near.join(r.select("qid", "route", "weight"), ["qid", "route"])
+
+
+def explained(queries: DataFrame, docs: DataFrame, targets: DataFrame | None = None, *, k: int = 5, scan_k: int | None = None, per_route: int | None = None, dampen: float = REWRITE_DAMPEN, collection: str | None = None, acl: list[str] | None = None, **weighing: object) -> tuple[DataFrame, DataFrame | None]:
+    """(hits, target): a search with all that led to its hits, and what became of the targets(qid, doc_id).
+
+    hits: (qid, place, doc_id, rrf, route, label, rank, ann_dist, contribution), a row for each hit and route that found
+    it; target: diagnose's row for each query that has targets.
+    """
+    docs = readable(docs, collection, acl)
+    scans = scan_routes(queries, docs, k=k, scan_k=scan_k, **weighing)
+    found = route_hits(queries, docs, k=k, per_route=per_route, **weighing)
+    best = fused_hits(found, k, dampen=dampen)
+    where = provenance(found).join(found.select("qid", "route", "weight").distinct(), ["qid", "route"])
+    detail = best.select("qid", "doc_id", "place", F.col("score").alias("rrf")).join(where, ["qid", "doc_id"]).withColumn("rank", F.col("pos"))
+    rows = attach_distance(detail, scans).select(
+        "qid", "place", "doc_id", "rrf", "route", route_label(F.col("route")).alias("label"), F.col("rank").cast("long").alias("rank"), F.col("distance").alias("ann_dist"), F.round(contribution(F.col("weight"), F.col("rank")), 9).alias("contribution")
+    )
+    return rows, None if targets is None else diagnose(scans, targets, k=k, dampen=dampen)
+
+
+def explain_json(hits: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """(qid, json): an object a query, with its hits in order, the routes of each, and the target's fate if there is one."""
+    each = hits.groupBy("qid", "place", "doc_id", "rrf").agg(F.array_sort(F.collect_list(F.struct("route", "label", "rank", "ann_dist", "contribution"))).alias("route_detail"))
+    per = each.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("rank"), "doc_id", "rrf", "route_detail"))).alias("hits"))
+    if target is None:
+        return per.select("qid", F.to_json(F.struct("qid", "hits")).alias("json"))
+    fate = target.select("qid", F.struct(*[c for c in target.columns if c != "qid"]).alias("target"))
+    return per.join(fate, "qid", "full").select("qid", F.to_json(F.struct("qid", "hits", "target")).alias("json"))

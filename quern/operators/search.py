@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quern.functions.text import has_cjk, strip
 from quern.functions.weights import MAX_REWRITES, REWRITE_DAMPEN, route_weight
 from quern.operators.fusion import rrf_fuse, top_k
 from quern.operators.lexical import bm25_topk
+from quern.operators.vectors import cosine_topk, hash_embedding
 
 
 def needs_rewrite(query: Column) -> Column:
@@ -37,20 +40,91 @@ def upsert_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return cache.join(new, "qhash", "left_anti").unionByName(new.select(*cache.columns))
 
 
-def routes(queries: DataFrame, *, most: int = MAX_REWRITES) -> DataFrame:
-    """(qid, route, query, weight): the query itself, then at most four rewrites. Empty queries have no routes."""
+def rewritten(queries: DataFrame, cache: DataFrame) -> DataFrame:
+    """queries(qid, query, key) with the variants that a rewriter's cache has: only for queries that need rewriting, split and checked.
+
+    cache(qhash, variants). A miss leaves a query as it is: search goes on without rewrites.
+    """
+    found = cached_variants(queries, cache)
+    parsed = parse_variants(F.array_join("variants", ";"))
+    return found.withColumn("variants", F.when(needs_rewrite(F.col("query")), parsed).otherwise(F.array().cast("array<string>")))
+
+
+def routes(queries: DataFrame, *, most: int = MAX_REWRITES, **weighing: object) -> DataFrame:
+    """(qid, route, query, weight): the query itself, then at most four rewrites. Empty queries have no routes; weighing: as in route_weight."""
     clean = F.slice(F.filter(F.coalesce("variants", F.array().cast("array<string>")), lambda v: v.isNotNull() & (strip(v) != "")), 1, most)
     q = queries.select("qid", strip(F.col("query")).alias("query"), clean.alias("variants")).where("query <> ''")
     all_routes = q.select("qid", F.size("variants").alias("n"), F.posexplode(F.concat(F.array("query"), "variants")).alias("route", "query"))
-    return all_routes.select("qid", "route", "query", route_weight(F.col("route"), F.col("n")).alias("weight"))
+    return all_routes.select("qid", "route", "query", route_weight(F.col("route"), F.col("n"), **weighing).alias("weight"))
+
 
+def readable(docs: DataFrame, collection: str | None, acl: list[str] | None) -> DataFrame:
+    """docs of the collection that share an entry with acl, where these are given."""
+    if collection is not None:
+        docs = docs.where(F.col("collection") == collection)
+    if acl is not None:
+        docs = docs.where(F.coalesce(F.arrays_overlap("acl", F.array(*map(F.lit, acl))), F.lit(False)))
+    return docs
 
-def search(queries: DataFrame, docs: DataFrame, *, k: int = 5, per_route: int | None = None, dampen: float = REWRITE_DAMPEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(qid, doc_id, score, n_routes, place) of queries(qid, query, variants) over docs: BM25 by route, then damped fusion.
 
-    The payload of the hits is to be joined afterwards, by their ids alone.
+def vector_routes(asked: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
+    """(qid, route, doc_id, rank, distance): each route's nearest documents by hashed embeddings."""
+    keyed = asked.select(F.struct("qid", "route").alias("key"), F.to_json(F.struct("qid", "route")).alias("doc_id"), "query")
+    vectors = hash_embedding(keyed, text_col="query").withColumnRenamed("doc_id", "qid")
+    near = cosine_topk(vectors, hash_embedding(docs), depth).withColumnRenamed("qid", "_key")
+    names = keyed.select("key.qid", "key.route", F.col("doc_id").alias("_key"))
+    return near.join(names, "_key").select("qid", "route", "doc_id", "rank", "distance")
+
+
+def recall(asked: DataFrame, docs: DataFrame, depth: int, *, lexical: bool = True, vector: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(qid, route, doc_id, rank): each route's documents in order, those of BM25 and of the nearest vectors fused as equals.
+
+    asked(qid, route, query), docs(doc_id, text). rerank: gets (qid, route, query, doc_id, text, rank) and returns
+    (qid, route, doc_id, rank) in its own order.
     """
-    depth = per_route if per_route and per_route > 0 else max(2 * k, 10)
-    r = routes(queries)
-    hits = bm25_topk(r, docs, depth, id_col=id_col, text_col=text_col).join(r.select("qid", "route", "weight"), ["qid", "route"])
-    return top_k(rrf_fuse(hits, dampen=dampen, dedup=True), k)
+    docs = docs.select("doc_id", "text")
+    lists = []
+    if lexical:
+        lists.append(bm25_topk(asked, docs, depth).select("qid", "route", "doc_id", "rank", F.lit(0).alias("list")))
+    if vector:
+        lists.append(vector_routes(asked, docs, depth).select("qid", "route", "doc_id", "rank", F.lit(1).alias("list")))
+    if len(lists) == 1:
+        order = lists[0].select("qid", "route", "doc_id", "rank")
+    else:
+        both = lists[0].unionByName(lists[1]).select(F.struct("qid", "route").alias("qid"), F.col("list").alias("route"), "doc_id", "rank", F.lit(1.0).alias("weight"))
+        fused = rrf_fuse(both, dedup=True).withColumn("score", F.round("score", 9))
+        order = top_k(fused, depth).select("qid.qid", "qid.route", "doc_id", (F.col("place") - 1).alias("rank"))
+    if rerank is None:
+        return order
+    return rerank(order.join(asked.select("qid", "route", "query"), ["qid", "route"]).join(docs, "doc_id")).select("qid", "route", "doc_id", "rank")
+
+
+def route_depth(k: int, per_route: int | None = None) -> int:
+    return per_route if per_route and per_route > 0 else max(2 * k, 10)
+
+
+def route_hits(queries: DataFrame, docs: DataFrame, *, k: int = 5, per_route: int | None = None, collection: str | None = None, acl: list[str] | None = None, lexical: bool = True, vector: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None, **weighing: object) -> DataFrame:
+    """(qid, route, doc_id, rank, weight): what each route of queries(qid, query, variants) finds, before fusion."""
+    r = routes(queries, **weighing)
+    found = recall(r, readable(docs, collection, acl), route_depth(k, per_route), lexical=lexical, vector=vector, rerank=rerank)
+    return found.join(r.select("qid", "route", "weight"), ["qid", "route"])
+
+
+def fused_hits(hits: DataFrame, k: int, *, dampen: float = REWRITE_DAMPEN) -> DataFrame:
+    """(qid, doc_id, score, n_routes, place): the k best of each query over its routes."""
+    return top_k(rrf_fuse(hits, dampen=dampen, dedup=True).withColumn("score", F.round("score", 9)), k)
+
+
+def search(queries: DataFrame, docs: DataFrame, *, k: int = 5, dampen: float = REWRITE_DAMPEN, **how: object) -> DataFrame:
+    """(qid, doc_id, score, n_routes, place) of queries(qid, query, variants) over docs(doc_id, text, and collection, acl if asked for).
+
+    how: what route_hits takes (per_route, collection, acl, lexical, vector, rerank, weights, original, rewrite, share_budget,
+    budget). Empty queries, and k <= 0, have no hits. The payload of the hits is to be joined afterwards, by their ids alone.
+    """
+    return fused_hits(route_hits(queries if k > 0 else queries.limit(0), docs, k=k, **how), k, dampen=dampen)
+
+
+def hits_json(hits: DataFrame) -> DataFrame:
+    """(qid, json): an object a query with its hits in order, each with the columns that hits has."""
+    rest = [c for c in hits.columns if c not in ("qid", "place")]
+    return hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", *rest))).alias("hits")).select("qid", F.to_json(F.struct("qid", "hits")).alias("json"))

@@ -6,42 +6,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import terms
 
+#: Numbers in a block of query vectors, which is sent to all tasks: 32 MB.
+BLOCK = 4_000_000
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, *, block: int = 256) -> DataFrame:
+
+def _distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Cosine distances, rounded so that equal ones tie; infinite where a vector is zero."""
+    nq, nd = np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dist = np.round(1 - (q @ d.T) / np.outer(nq, nd), 6) + 0.0  # no negative zero
+    dist[~np.isfinite(dist)] = np.inf
+    return dist
+
+
+def _nearest(shared, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, q = shared.value
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object)) for _ in qids]
+        for df in batches:
+            ids, dist = df["doc_id"].to_numpy(), _distances(q, np.vstack(df["vec"]).astype(np.float64))
+            for i, (old, old_ids) in enumerate(kept):
+                row = dist[i]
+                if len(old) == k:
+                    near = np.nonzero(row <= old[-1])[0]
+                    if not len(near):
+                        continue
+                else:
+                    near = np.arange(len(row))
+                both, names = np.concatenate([old, row[near]]), np.concatenate([old_ids, ids[near]])
+                best = np.lexsort((names, both))[:k] if names.dtype != object else np.array(sorted(range(len(both)), key=lambda j: (both[j], names[j]))[:k], dtype=int)
+                kept[i] = both[best], names[best]
+        rows = [(qid, doc, float(x)) for qid, (near, docs) in zip(qids, kept, strict=True) for x, doc in zip(near, docs, strict=True) if np.isfinite(x)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["qid", "doc_id", "distance"])
+
+    return run
+
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, *, block: int = BLOCK) -> DataFrame:
     """(qid, doc_id, distance, rank): the k nearest vectors of each query, rank from 0; ties by doc_id.
 
-    queries(qid, vec), corpus(doc_id, vec), vectors of one length. Queries are packed into blocks; each batch of the corpus meets
-    each block once, as a matrix product, and hands on k neighbours a query. A query's own vector is among them. Null
-    and zero vectors have no neighbours.
+    queries(qid, vec), corpus(doc_id, vec), vectors of one length. The corpus stays where it is: each of its tasks meets
+    a block of queries as a matrix product and hands on at most k neighbours a query. A block has at most so many numbers, whatever
+    the number of queries; with more queries the corpus is read once for each block. A query's own vector is
+    among its neighbours. Null and zero vectors have none.
     """
+    spark = queries.sparkSession
     good = lambda df: df.where(F.col("vec").isNotNull() & (F.size("vec") > 0))
-    numbered = good(queries).select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(1 << 30)).alias("h"))
-    n_blocks = max(1, -(-numbered.count() // block))
-    packed = numbered.groupBy((F.col("h") % n_blocks).alias("b")).agg(F.collect_list("qid").alias("qids"), F.collect_list("vec").alias("qvecs"))
-    spread = good(corpus).select("doc_id", "vec", F.floor(F.rand(7) * 64).alias("salt")).groupBy("salt", F.floor(F.col("doc_id") / 4096).alias("g")).agg(F.collect_list("doc_id").alias("docs"), F.collect_list("vec").alias("dvecs"))
-    met = spread.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(packed, "b")
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            out = []
-            for qids, qv, docs, dv in zip(df["qids"], df["qvecs"], df["docs"], df["dvecs"], strict=True):
-                q, d = np.vstack(qv).astype(np.float64), np.vstack(dv).astype(np.float64)
-                ids = np.asarray(docs)
-                nq, nd = np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1)
-                dist = np.round(1 - (q @ d.T) / np.maximum(np.outer(nq, nd), 1e-300), 6) + 0.0  # no negative zero
-                dist[:, nd == 0] = np.inf
-                for i, qid in enumerate(qids):
-                    if nq[i]:
-                        best = np.lexsort((ids, dist[i]))[:k]
-                        out += [(qid, ids[j], dist[i, j]) for j in best if np.isfinite(dist[i, j])]
-            yield pd.DataFrame(out, columns=["qid", "doc_id", "distance"])
-
-    found = met.select("qids", "qvecs", "docs", "dvecs").mapInPandas(nearest, "qid long, doc_id long, distance double")
+    asked, docs = good(queries).select("qid", "vec"), good(corpus).select("doc_id", "vec")
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *corpus.schema)}
+    schema = f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, distance double"
+    size = asked.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0]
+    n_blocks = -(-size // block)
+    found = spark.createDataFrame([], schema)
+    for b in range(n_blocks):
+        some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).toPandas()  # about BLOCK numbers
+        if len(some):
+            shared = spark.sparkContext.broadcast((some["qid"].to_numpy(), np.vstack(some["vec"]).astype(np.float64)))
+            found = found.unionByName(docs.mapInPandas(_nearest(shared, k), schema))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "doc_id"))
     return found.withColumn("place", place).where(F.col("place") <= k).select("qid", "doc_id", "distance", (F.col("place") - 1).cast("long").alias("rank"))
 
@@ -56,10 +84,24 @@ def collapse_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return first.select("qid", "parent_id", F.col("m.distance").alias("distance"), (place - 1).cast("long").alias("rank"))
 
 
+def term_hash(term: Column) -> Column:
+    """32 bits of a term's MD5."""
+    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")
+
+
+def _folded(size: int):
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            h = np.asarray(h, dtype=np.int64)
+            out.append(np.bincount(h % size, np.where(h // size % 2 == 0, 1.0, -1.0), minlength=size).astype(np.float32))
+        return pd.Series(out)
+
+    return run
+
+
 def hash_embedding(docs: DataFrame, *, size: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, vec): signed feature hashing of the text's terms, of length 1; texts without terms have no vector."""
-    h = docs.select(F.col(id_col).alias("doc_id"), F.explode(terms(F.col(text_col))).alias("t")).select("doc_id", F.xxhash64("t").alias("h"))
-    cells = h.groupBy("doc_id", F.pmod("h", F.lit(size)).cast("int").alias("cell")).agg(F.sum(F.when(F.shiftright("h", 40) % 2 == 0, 1.0).otherwise(-1.0)).alias("v"))
-    packed = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
-    return packed.where("norm > 0").select("doc_id", vec.cast("array<float>").alias("vec"))
+    """(doc_id, vec): signed feature hashing of the text's terms, in whole numbers; texts whose terms cancel out or are none have no vector."""
+    hashed = docs.select(F.col(id_col).alias("doc_id"), F.transform(terms(F.col(text_col)), term_hash).alias("h")).where(F.size("h") > 0)
+    return hashed.select("doc_id", _folded(size)("h").alias("vec")).where(F.exists("vec", lambda x: x != 0))

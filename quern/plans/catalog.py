@@ -141,7 +141,7 @@ _ITEMS = """items AS (SELECT f.source, trim(f.url) AS url, f.title, b.body FROM
  (SELECT source_doc, arg_min(text, id) AS body FROM chunks WHERE is_parent GROUP BY source_doc) b ON trim(f.url) = b.source_doc),
 conflicts AS (SELECT DISTINCT source_doc FROM chunks WHERE collection <> 'techblog'),
 known AS (SELECT source_doc, m.sha256 AS old_sha, m.chunks AS old_chunks FROM (SELECT source_doc, max(struct_pack(stored_at := stored_at, sha256 := sha256, chunks := chunks)) AS m FROM manifest GROUP BY source_doc)),
-status AS (SELECT i.source, i.url, i.title, length(t.full_text) AS chars, CASE WHEN coalesce(i.url, '') = '' THEN 'fail' WHEN c.source_doc IS NOT NULL THEN 'skip' WHEN i.body IS NULL THEN 'fail'
+status AS (SELECT i.source, i.url, i.title, length(t.full_text) AS chars, coalesce(k.old_chunks, 0) AS old_chunks, CASE WHEN coalesce(i.url, '') = '' THEN 'no address' ELSE 'no body' END AS reason, CASE WHEN coalesce(i.url, '') = '' THEN 'fail' WHEN c.source_doc IS NOT NULL THEN 'skip' WHEN i.body IS NULL THEN 'fail'
  WHEN length(regexp_replace(i.body, '^\\s+|\\s+$', '', 'g')) < 600 THEN 'skip' WHEN coalesce(sha256(t.full_text) = k.old_sha AND coalesce(k.old_chunks, 0) > 0, false) THEN 'unchanged' ELSE 'ok' END AS status
  FROM items i, LATERAL (SELECT CASE WHEN starts_with(i.body, '#') THEN i.body ELSE '# ' || i.title || chr(10) || chr(10) || i.body END AS full_text) t
  LEFT JOIN conflicts c ON i.url = c.source_doc LEFT JOIN known k ON i.url = k.source_doc)"""
@@ -163,9 +163,10 @@ def crawl_status(spark: SparkSession, d: str) -> DataFrame:
 _STATS = """CAST(count_if(status = 'ok') AS BIGINT) AS ok, CAST(count_if(status = 'skip') AS BIGINT) AS skip, CAST(count_if(status = 'fail') AS BIGINT) AS fail, CAST(count_if(status = 'unchanged') AS BIGINT) AS unchanged, CAST(coalesce(sum(CASE WHEN status = 'ok' THEN chars END), 0) AS BIGINT) AS words"""
 
 
-@query(f"WITH {_ITEMS}, s AS (SELECT source, {_STATS} FROM status GROUP BY source) SELECT *, CASE WHEN ok > 0 THEN words // ok ELSE 0 END AS avg_words FROM s")
+@query(f"""WITH {_ITEMS}, s AS (SELECT source, {_STATS}, CAST(coalesce(sum(CASE WHEN status = 'unchanged' THEN old_chunks END), 0) AS BIGINT) AS saved_chunks,
+ coalesce(string_agg(DISTINCT CASE WHEN status = 'fail' THEN reason END, '; ' ORDER BY CASE WHEN status = 'fail' THEN reason END), '') AS fail_reasons FROM status GROUP BY source) SELECT *, CASE WHEN ok > 0 THEN words // ok ELSE 0 END AS avg_words FROM s""")
 def crawl_source_stats(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.source_stats(_status(spark, d))
+    return ingest.source_stats(_status(spark, d)).drop("chunks").withColumn("fail_reasons", F.array_join("fail_reasons", "; "))
 
 
 @query(f"WITH {_ITEMS} SELECT source, {_STATS} FROM status GROUP BY ROLLUP (source)")
@@ -215,12 +216,13 @@ def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '(?m)^(#{1,6} )', chr(1) || '\\1', 'g'), chr(1)), lambda x: x <> '')) AS s,
  generate_subscripts(list_filter(string_split(regexp_replace(text, '(?m)^(#{1,6} )', chr(1) || '\\1', 'g'), chr(1)), lambda x: x <> ''), 1) - 1 AS section_no FROM documents),
-p AS (SELECT doc_id, section_no, unnest(range(0, greatest(1, length(s)), 2000)) AS o, s FROM s),
-q AS (SELECT doc_id, section_no, o // 2000 AS parent_no, substring(s, o + 1, 2000) AS p FROM p),
-c AS (SELECT doc_id, section_no, parent_no, unnest(range(0, greatest(1, length(p) - 60), 340)) AS o, p FROM q)
-SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, CAST(parent_no AS INTEGER) AS parent_no, CAST(o // 340 AS INTEGER) AS child_no, CAST(length(substring(p, o + 1, 400)) AS INTEGER) AS chars FROM c""")
+p AS (SELECT doc_id, section_no, unnest(range(0, greatest(1, length(s)), 2000)) AS o, s, trim(regexp_extract(s, '^#{1,6} ([^\\r\\n]*)', 1)) AS section FROM s),
+q AS (SELECT doc_id, section_no, section, o // 2000 AS parent_no, substring(s, o + 1, 2000) AS p FROM p),
+c AS (SELECT doc_id, section_no, section, parent_no, unnest(range(0, greatest(1, length(p) - 60), 340)) AS o, p FROM q)
+SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, CAST(parent_no AS INTEGER) AS parent_no, CAST(o // 340 AS INTEGER) AS child_no, section, md5(p) AS parent_md5, md5(substring(p, o + 1, 400)) AS text_md5, CAST(length(substring(p, o + 1, 400)) AS INTEGER) AS chars FROM c""")
 def chunk_two_level(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.two_level_chunks(read(spark, d, "documents"))
+    parts = ingest.two_level_chunks(read(spark, d, "documents"))
+    return parts.select("doc_id", "section_no", "parent_no", "child_no", "section", F.md5("parent_text").alias("parent_md5"), F.md5("text").alias("text_md5"), "chars")
 
 
 @query("SELECT id, source_doc FROM chunks WHERE collection = 'techblog' AND list_has_any(acl, ['public', 'guest'])")
@@ -363,40 +365,72 @@ def route_provenance(spark: SparkSession, d: str) -> DataFrame:
     return fusion.provenance(_scans(spark, d))
 
 
-def _search(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(read(spark, d, "rewrites"), read(spark, d, "documents"), k=5)
+_DOCUMENTS = "corpus AS (SELECT doc_id, text FROM documents)"
 
 
-@query(f"""WITH {_bm25_sql(10)}, o AS (SELECT bm.*, routes.weight, max(CASE WHEN route = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, doc_id) AS orig FROM bm JOIN routes USING (qid, route)),
-f AS (SELECT qid, doc_id, round(sum(weight / (60 + rank) * CASE WHEN route > 0 AND orig = 1 THEN 0.35 ELSE 1 END), 9) AS score, count(*) AS n_routes FROM o GROUP BY qid, doc_id),
-t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM f QUALIFY place <= 5)
-SELECT qid, doc_id, score, n_routes, place, title FROM t JOIN documents USING (doc_id)""")
+def _recall_sql(depth: int, scan: int = 0) -> str:
+    """recalled: BM25 and nearest vectors of every route over corpus(doc_id, text), fused; scanned: the nearest vectors as far as scan."""
+    tf = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format(c='text')}) AS term FROM corpus) GROUP BY doc_id, term"
+    cells = "SELECT {key}, h % 256 AS cell, sum(CASE WHEN h // 256 % 2 = 0 THEN 1 ELSE -1 END * n) AS v FROM (SELECT {key}, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) AS h, n FROM {source}) GROUP BY {key}, cell"
+    return f"""tf AS ({tf}), dl AS (SELECT doc_id, coalesce(len({_TERMS.format(c='text')}), 0) AS dl FROM corpus), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), qa AS (SELECT qid, route, unnest({_TERMS.format(c='query')}) AS term FROM routes), qt AS (SELECT DISTINCT * FROM qa),
+s AS (SELECT qid, route, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), tot GROUP BY qid, route, doc_id),
+bm AS (SELECT qid, route, doc_id, row_number() OVER (PARTITION BY qid, route ORDER BY score DESC, doc_id) - 1 AS rank FROM s QUALIFY rank < {depth}),
+dc AS ({cells.format(key='doc_id', source='(SELECT doc_id, term, tf AS n FROM tf)')}), qc AS ({cells.format(key='qid, route', source='(SELECT qid, route, term, 1 AS n FROM qa)')}),
+dn AS (SELECT doc_id, sqrt(sum(v * v)) AS nd FROM dc GROUP BY doc_id HAVING sum(v * v) > 0), qn AS (SELECT qid, route, sqrt(sum(v * v)) AS nq FROM qc GROUP BY qid, route HAVING sum(v * v) > 0),
+dots AS (SELECT qid, route, doc_id, sum(dc.v * qc.v) AS dot FROM dc JOIN qc USING (cell) GROUP BY qid, route, doc_id),
+near AS (SELECT qid, route, doc_id, round(1 - CAST(coalesce(dot, 0) AS DOUBLE) / (nq * nd), 6) AS distance FROM qn CROSS JOIN dn LEFT JOIN dots USING (qid, route, doc_id)),
+scanned AS (SELECT *, row_number() OVER (PARTITION BY qid, route ORDER BY distance, doc_id) - 1 AS rank FROM near QUALIFY rank < {max(scan, depth)}),
+lists AS (SELECT qid, route, doc_id, rank FROM bm UNION ALL SELECT qid, route, doc_id, rank FROM scanned WHERE rank < {depth}),
+inner_fused AS (SELECT qid, route, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM lists GROUP BY qid, route, doc_id),
+recalled AS (SELECT qid, route, doc_id, row_number() OVER (PARTITION BY qid, route ORDER BY score DESC, doc_id) - 1 AS rank FROM inner_fused QUALIFY rank < {depth}),
+flagged AS (SELECT *, max(CASE WHEN route = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, doc_id) AS orig FROM recalled JOIN routes USING (qid, route)),
+fused AS (SELECT qid, doc_id, round(sum(weight / (60 + rank) * CASE WHEN route > 0 AND orig = 1 THEN 0.35 ELSE 1 END), 9) AS score, count(*) AS n_routes FROM flagged GROUP BY qid, doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM fused)"""
+
+
+@query(f"WITH {_ROUTES}, {_DOCUMENTS}, {_recall_sql(10)} SELECT qid, doc_id, score, n_routes, place, title FROM placed JOIN documents USING (doc_id) WHERE place <= 5")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Original and rewritten wordings, fused; titles are joined to the five best of each query only."""
-    docs = read(spark, d, "documents")
-    r = search.routes(read(spark, d, "rewrites"))
-    hits = lexical.bm25_topk(r.select("qid", "route", "query"), docs, 10).join(r.select("qid", "route", "weight"), ["qid", "route"])
-    best = fusion.top_k(_rounded(fusion.rrf_fuse(hits, dampen=0.35, dedup=True)), 5)
-    return best.join(docs.select("doc_id", "title"), "doc_id")
+    """Original and rewritten wordings, each by BM25 and by nearest vectors, fused; titles are joined to the five best of each query only."""
+    docs = read(spark, d, "documents").select("doc_id", "title", "text")
+    return search.search(read(spark, d, "rewrites"), docs).join(docs.select("doc_id", "title"), "doc_id")
 
 
-@query()
+@query(f"""WITH {_bm25_sql(10)}, o AS (SELECT bm.*, routes.weight, max(CASE WHEN route = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, doc_id) AS orig FROM bm JOIN routes USING (qid, route)),
+f AS (SELECT qid, doc_id, round(sum(weight / (60 + rank) * CASE WHEN route > 0 AND orig = 1 THEN 0.35 ELSE 1 END), 9) AS score, count(*) AS n_routes FROM o GROUP BY qid, doc_id)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM f QUALIFY place <= 5""")
+def lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(read(spark, d, "rewrites"), read(spark, d, "documents").select("doc_id", "text"), vector=False)
+
+
+_VISIBLE = "corpus AS (SELECT id AS doc_id, text FROM chunks WHERE is_parent AND collection = 'techblog' AND list_has_any(acl, ['public']))"
+
+
+@query(f"WITH {_ROUTES.replace('0.6 / len(v)', '0.2')}, {_VISIBLE}, {_recall_sql(6)} SELECT qid, doc_id, score, n_routes, place FROM placed WHERE place <= 3")
+def search_with_access(spark: SparkSession, d: str) -> DataFrame:
+    """Over the parents of one collection that the reader may see, with a fixed weight for each rewrite."""
+    docs = read(spark, d, "chunks").where("is_parent").select(F.col("id").alias("doc_id"), "text", "collection", "acl")
+    return search.search(read(spark, d, "rewrites"), docs, k=3, per_route=6, collection="techblog", acl=["public"], rewrite=0.2, share_budget=False)
+
+
+@query(f"""WITH routes AS (SELECT qid, 0 AS route, regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS query, 1.0 AS weight FROM rewrites WHERE regexp_replace(query, '^\\s+|\\s+$', '', 'g') <> ''), {_DOCUMENTS}, {_recall_sql(20)}
+SELECT qid, doc_id, CAST(rank + 1 AS BIGINT) AS place FROM recalled WHERE rank < 10""")
 def lexical_and_vector(spark: SparkSession, d: str) -> DataFrame:
-    """Rewritten queries by BM25 and by hashed embeddings, as two routes fused into one order."""
-    docs = read(spark, d, "documents")
-    asked = read(spark, d, "rewrites").where("qid % 20 = 0").select("qid", F.lit(0).alias("route"), "query")
-    words = lexical.bm25_topk(asked, docs, 20).select("qid", F.lit(0).alias("route"), "doc_id", "rank")
-    vec = vectors.hash_embedding(docs)
-    qvec = vectors.hash_embedding(asked, id_col="qid", text_col="query").withColumnRenamed("doc_id", "qid")
-    near = vectors.cosine_topk(qvec, vec, 20).select("qid", F.lit(1).alias("route"), "doc_id", "rank")
-    return fusion.top_k(fusion.rrf_fuse(words.unionByName(near).withColumn("weight", F.lit(1.0)), dedup=True), 10)
+    """Each query's own wording by BM25 and by hashed embeddings, fused into one order."""
+    asked = search.routes(read(spark, d, "rewrites")).where("route = 0").select("qid", "route", "query")
+    found = search.recall(asked, read(spark, d, "documents").select("doc_id", "text"), 20)
+    return found.where("rank < 10").select("qid", "doc_id", (F.col("rank") + 1).alias("place"))
 
 
-@query()
+@query(f"""WITH {_ROUTES}, {_DOCUMENTS}, {_recall_sql(10)} SELECT qid, place, doc_id, score, n_routes, title, substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 160) AS snippet
+ FROM placed JOIN documents USING (doc_id) WHERE place <= 5""")
 def search_json(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON line for each query with its hits in order."""
-    hits = _search(spark, d).join(read(spark, d, "documents").select("doc_id", "title", tx.snippet(F.col("text")).alias("snippet")), "doc_id")
-    return hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "doc_id", "score", "n_routes", "title", "snippet"))).alias("hits")).select("qid", F.to_json(F.struct("qid", "hits")).alias("json"))
+    """A JSON line for each query with its hits in order, written and read back."""
+    docs = read(spark, d, "documents").select("doc_id", "title", "text")
+    hits = search.search(read(spark, d, "rewrites"), docs).join(docs.select("doc_id", "title", tx.snippet(F.col("text")).alias("snippet")), "doc_id")
+    lines = search.hits_json(hits)
+    schema = "struct<qid:bigint,hits:array<struct<place:bigint,doc_id:bigint,score:double,n_routes:bigint,title:string,snippet:string>>>"
+    return lines.select(F.from_json("json", schema).alias("j")).select("j.qid", F.inline("j.hits"))
 
 
 # ---- explain
@@ -437,12 +471,12 @@ f AS (SELECT qid, doc_id, sum(weight / (60 + rank) * CASE WHEN route > 0 AND ori
 g AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS place FROM f),
 b AS (SELECT qid, min(place) AS fused_rank FROM g JOIN targets USING (qid, doc_id) GROUP BY qid),
 n AS (SELECT qid, count(DISTINCT route) AS n FROM scans GROUP BY qid)
-SELECT qid, round(coalesce(s, 0), 9) AS fused_score, n - coalesce(len(hits), 0) AS missed, CASE WHEN coalesce(len(hits), 0) = 0 THEN 'not recalled by any route' WHEN len(hits) = 1 AND hits[1] = 0 THEN 'recalled by the original query only'
+SELECT qid, round(coalesce(s, 0), 9) AS fused_score, fused_rank, n - coalesce(len(hits), 0) AS missed, CASE WHEN coalesce(len(hits), 0) = 0 THEN 'not recalled by any route' WHEN len(hits) = 1 AND hits[1] = 0 THEN 'recalled by the original query only'
  WHEN NOT list_contains(hits, 0) THEN 'recalled by rewrites only' WHEN fused_rank > 5 THEN 'recalled but below the top k' ELSE 'in the top k' END AS verdict
 FROM (SELECT DISTINCT qid FROM targets) JOIN n USING (qid) LEFT JOIN per USING (qid) LEFT JOIN sc USING (qid) LEFT JOIN b USING (qid)""")
 def explain_target_verdict(spark: SparkSession, d: str) -> DataFrame:
     v = explain.diagnose(_scans(spark, d), _targets(spark, d))
-    return v.select("qid", "fused_score", F.size("missed_routes").cast("long").alias("missed"), "verdict")
+    return v.select("qid", "fused_score", "fused_rank", F.size("missed_routes").cast("long").alias("missed"), "verdict")
 
 
 @query("""WITH c AS (SELECT qid, route, doc_id, min(rank) AS rank FROM scans WHERE route > 0 GROUP BY qid, route, doc_id), o AS (SELECT qid, doc_id, min(distance) AS distance FROM scans WHERE route = 0 GROUP BY qid, doc_id)
@@ -455,6 +489,45 @@ def explain_original_distance(spark: SparkSession, d: str) -> DataFrame:
     return explain.attach_distance(routes_as_0, original).select("qid", F.col("found_by").alias("route"), "doc_id", "distance")
 
 
+_EXPLAIN = f"WITH {_ROUTES}, {_DOCUMENTS}, {_recall_sql(10, 100)}"
+
+
+def _explained(spark: SparkSession, d: str, aimed: bool) -> tuple[DataFrame, DataFrame | None]:
+    docs = read(spark, d, "documents").select("doc_id", "text", "source")
+    asked = read(spark, d, "rewrites")
+    targets = None
+    if aimed:  # all documents of the source that the first hit is of
+        first = search.search(asked, docs, k=1).select("qid", "doc_id").join(docs.select("doc_id", "source"), "doc_id").select("qid", "source")
+        targets = first.join(docs.select("source", "doc_id"), "source").select("qid", "doc_id")
+    return explain.explained(asked, docs, targets)
+
+
+@query(f"""{_EXPLAIN} SELECT p.qid, p.place, p.doc_id, p.score AS rrf, f.route, CASE WHEN f.route = 0 THEN 'original' ELSE 'rewrite ' || f.route END AS label, f.rank, s.distance AS ann_dist, round(f.weight / (60 + f.rank), 9) AS contribution
+ FROM placed p JOIN flagged f USING (qid, doc_id) LEFT JOIN scanned s ON s.qid = f.qid AND s.route = f.route AND s.doc_id = f.doc_id WHERE p.place <= 5""")
+def explain_json(spark: SparkSession, d: str) -> DataFrame:
+    """What led to each hit, as a JSON object a query, written and read back."""
+    hits, _ = _explained(spark, d, False)
+    schema = "struct<qid:bigint,hits:array<struct<rank:bigint,doc_id:bigint,rrf:double,route_detail:array<struct<route:int,label:string,rank:bigint,ann_dist:double,contribution:double>>>>>"
+    each = explain.explain_json(hits).select(F.from_json("json", schema).alias("j")).select("j.qid", F.explode("j.hits").alias("h"))
+    return each.select("qid", F.col("h.rank").alias("place"), "h.doc_id", "h.rrf", F.explode("h.route_detail").alias("r")).select("qid", "place", "doc_id", "rrf", "r.*")
+
+
+@query(f"""{_EXPLAIN}, targets AS (SELECT p.qid, t.doc_id FROM placed p JOIN documents a USING (doc_id) JOIN documents t ON t.source = a.source WHERE p.place = 1),
+sw AS (SELECT scanned.*, weight FROM scanned JOIN routes USING (qid, route)), m AS (SELECT qid, route, min(struct_pack(rank := rank, doc_id := doc_id, weight := weight)) AS m FROM sw JOIN targets USING (qid, doc_id) GROUP BY qid, route),
+per AS (SELECT qid, list(route ORDER BY route) AS hits, max(CASE WHEN route = 0 THEN 1 ELSE 0 END) AS orig FROM m GROUP BY qid),
+sc AS (SELECT m.qid, sum(m.m.weight / (60 + m.m.rank) * CASE WHEN m.route > 0 AND per.orig = 1 THEN 0.35 ELSE 1 END) AS s FROM m JOIN per USING (qid) GROUP BY m.qid),
+o AS (SELECT *, max(CASE WHEN route = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, doc_id) AS orig FROM sw), f AS (SELECT qid, doc_id, sum(weight / (60 + rank) * CASE WHEN route > 0 AND orig = 1 THEN 0.35 ELSE 1 END) AS score FROM o GROUP BY qid, doc_id),
+g AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS place FROM f), b AS (SELECT qid, min(place) AS fused_rank FROM g JOIN targets USING (qid, doc_id) GROUP BY qid),
+n AS (SELECT qid, count(DISTINCT route) AS n FROM sw GROUP BY qid)
+SELECT qid, round(coalesce(s, 0), 9) AS fused_score, fused_rank, n - coalesce(len(hits), 0) AS missed, CASE WHEN coalesce(len(hits), 0) = 0 THEN 'not recalled by any route' WHEN len(hits) = 1 AND hits[1] = 0 THEN 'recalled by the original query only'
+ WHEN NOT list_contains(hits, 0) THEN 'recalled by rewrites only' WHEN fused_rank > 5 THEN 'recalled but below the top k' ELSE 'in the top k' END AS verdict
+FROM (SELECT DISTINCT qid FROM targets) JOIN n USING (qid) LEFT JOIN per USING (qid) LEFT JOIN sc USING (qid) LEFT JOIN b USING (qid)""")
+def explain_target(spark: SparkSession, d: str) -> DataFrame:
+    """What became of a target in a search and in its far deeper scans."""
+    _, target = _explained(spark, d, True)
+    return target.select("qid", "fused_score", "fused_rank", F.size("missed_routes").cast("long").alias("missed"), "verdict")
+
+
 # ---- evaluation
 
 
@@ -507,6 +580,40 @@ def eval_sample_docs(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.sample_documents(read(spark, d, "chunks").where("is_parent").select("source_doc", "chunk_index", "id", "section", "text"))
 
 
+_ASKED = """asked AS (SELECT item_id AS qid, i.query, variants FROM eval_items i LEFT JOIN (SELECT query, min(variants) AS variants FROM rewrites GROUP BY query) r ON r.query = i.query)"""
+
+
+@query(f"""WITH {_ASKED}, {_ROUTES.replace("FROM rewrites)", "FROM asked)", 1)}, corpus AS (SELECT id AS doc_id, text FROM chunks WHERE is_parent AND collection = 'techblog'), {_recall_sql(20)},
+s AS (SELECT qid, source_doc, min(place) AS p FROM placed JOIN chunks ON chunks.id = placed.doc_id WHERE place <= 10 GROUP BY qid, source_doc), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p, source_doc) AS place FROM s),
+truth AS (SELECT item_id AS qid, source_doc FROM eval_items), k AS (SELECT truth.qid, min(r.place) AS rank FROM truth LEFT JOIN r ON r.qid = truth.qid AND r.source_doc = truth.source_doc GROUP BY truth.qid)
+SELECT count(*) AS n, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(coalesce(1 / log2(rank + 1), 0)), 6) AS ndcg FROM k""".replace("), s AS (SELECT qid, source_doc", "), sd AS (SELECT qid, source_doc").replace("placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM fused),\ns AS", "placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM fused),\nsd AS").replace("ORDER BY p, source_doc) AS place FROM s)", "ORDER BY p, source_doc) AS place FROM sd)"))
+def eval_search(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation items asked of the parents of a collection, with the rewrites that there are for them."""
+    items = read(spark, d, "eval_items").select(F.col("item_id").alias("qid"), "query", "source_doc")
+    known = read(spark, d, "rewrites").groupBy("query").agg(F.min("variants").alias("variants"))
+    docs = read(spark, d, "chunks").where("is_parent").select(F.col("id").alias("doc_id"), "text", "source_doc", "collection")
+    return evaluation.evaluate(items.join(known, "query", "left"), items.select("qid", "source_doc"), docs, collection="techblog")
+
+
+@query(f"""WITH {_ROUTES}, {_DOCUMENTS}, {_recall_sql(10)}, full_run AS (SELECT qid, doc_id FROM placed WHERE place <= 5), base AS (SELECT qid, doc_id FROM recalled WHERE route = 0 AND rank < 5), rw AS (SELECT DISTINCT qid, doc_id FROM recalled WHERE route > 0), org AS (SELECT DISTINCT qid, doc_id FROM recalled WHERE route = 0),
+n AS (SELECT count(DISTINCT qid) AS n FROM recalled), kept AS (SELECT count(*) AS v FROM base JOIN full_run USING (qid, doc_id)), only_base AS (SELECT * FROM base ANTI JOIN rw USING (qid, doc_id)),
+stay AS (SELECT count(*) AS v FROM only_base JOIN full_run USING (qid, doc_id)), fresh AS (SELECT count(*) AS v FROM full_run ANTI JOIN org USING (qid, doc_id)), slots AS (SELECT count(*) AS v FROM only_base)
+SELECT n.n, round(kept.v / (n.n * 5), 6) AS top_retention, CASE WHEN slots.v > 0 THEN round(stay.v / slots.v, 6) ELSE 1.0 END AS original_only_retention, slots.v AS original_only_slots, round(fresh.v / n.n, 6) AS rewrite_only_per_query FROM n, kept, stay, fresh, slots""")
+def search_retention(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.search_retention(read(spark, d, "rewrites"), read(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("""WITH a AS (SELECT source_doc, '「' || query || '」' || chr(10) || 'because of the title' AS raw, query FROM eval_items),
+c AS (SELECT source_doc, regexp_replace(query, '^\\s+|\\s+$', '', 'g') || '」' AS q FROM a)
+SELECT i.query AS query, p.source_doc, substring(p.title, 1, 120) AS title, p.chars FROM (SELECT source_doc, min(section) AS title, CAST(sum(length(text)) AS BIGINT) AS chars FROM chunks WHERE is_parent GROUP BY source_doc) p
+JOIN (SELECT source_doc, trim(query) || '」' AS query FROM eval_items) i USING (source_doc) WHERE length(i.query) BETWEEN 4 AND 30 AND regexp_matches(i.query, '[一-鿿]')""")
+def eval_build_set(spark: SparkSession, d: str) -> DataFrame:
+    """A frozen evaluation set from answers of a generator, here the stored queries in quotes with a line of chatter after them."""
+    answers = read(spark, d, "eval_items").select("source_doc", F.concat(F.lit("「"), F.trim("query"), F.lit("」\nbecause of the title")).alias("raw"))
+    pages = read(spark, d, "chunks").where("is_parent").groupBy("source_doc").agg(F.min("section").alias("title"), F.sum(F.length("text")).alias("chars"))
+    return evaluation.build_set(pages, answers)
+
+
 # ---- extensions
 
 

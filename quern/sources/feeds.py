@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from urllib.parse import urljoin
@@ -29,8 +28,9 @@ def _first(entry: ET.Element, names: tuple[str, ...]) -> str:
 
 
 def _link(entry: ET.Element) -> str:
-    link = next((x for x in entry if _local(x.tag) == "link"), None)
-    return "" if link is None else (link.get("href") or link.text or "").strip()
+    """The address of the first link that has one, as attribute or as text."""
+    links = ((x.get("href") or x.text or "").strip() for x in entry if _local(x.tag) == "link")
+    return next(filter(None, links), "")
 
 
 def _summary(entry: ET.Element) -> str:
@@ -39,23 +39,33 @@ def _summary(entry: ET.Element) -> str:
     return "" if found is None else "".join(found.itertext())
 
 
+def _plain(markup: str) -> str:
+    """The text of a piece of markup, a line a block."""
+    return "\n".join(text for _, text, _, _ in read_blocks(markup))
+
+
+def _root(xml: str) -> ET.Element | None:
+    """The document's element. A declaration may be false (another encoding than the text has now) or misplaced: it is tried without."""
+    body = xml.strip()
+    bare = body.partition("?>")[2] if body.startswith("<?xml") else body
+    for text in (xml, bare):
+        try:
+            return ET.fromstring(text)
+        except (ET.ParseError, ValueError):
+            pass
+    return None
+
+
 def parse_feed(xml: str | None, base: str | None) -> list[tuple[str, str, str, str]]:
     """(title, url, date text, summary) of each entry with title and link; a malformed feed has none."""
-    root = None
-    for attempt in (xml or "", re.sub(r"^\s*<\?xml[^>]*\?>", "", xml or "")):
-        try:
-            root = ET.fromstring(attempt)
-            break
-        except ET.ParseError:
-            continue
+    root = _root(xml or "")
     out = []
     for entry in root.iter() if root is not None else ():
         if _local(entry.tag) in ENTRY_TAGS:
-            title, link = _first(entry, ("title",)), _link(entry)
+            title, link = " ".join(_plain(_first(entry, ("title",))).split()), _link(entry)
             if title and link:
                 when = _first(entry, ("pubdate", "published", "updated", "date"))
-                summary = "\n".join(b[1] for b in read_blocks(_summary(entry)))
-                out.append((title[:TITLE_CHARS], urljoin(base or "", link), when, summary[:SUMMARY_CHARS]))
+                out.append((title[:TITLE_CHARS], urljoin(base or "", link), when, _plain(_summary(entry))[:SUMMARY_CHARS]))
     return out
 
 

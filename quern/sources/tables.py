@@ -2,34 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import re
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "source_doc string, sha256 string, chunks int, chars int, stored_at string"
+_COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
+#: Changes are appended up to this number of times, then all are written as one.
+MOST_CHANGES = 20
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def manifest_versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of what a reader has to read, in order: the last whole manifest and the changes after it.
+
+    A manifest is a folder of numbered versions, each whole or a set of changes. A version counts once its marker
+    of success is there, which is written last: readers see the old state or the new one, whatever happens to a writer.
+    """
+    fs, target = _files(spark, path)
+    if not fs.exists(target):
+        return []
+    found = []
+    for s in fs.listStatus(target):
+        name = s.getPath().getName()
+        if (m := re.fullmatch(r"(whole|changes)-(\d{8})", name)) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
+            found.append((int(m[2]), name))
+    found.sort()
+    start = max((k for k, (_, name) in enumerate(found) if name.startswith("whole")), default=0)
+    return found[start:]
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest; one that is missing or can't be read is empty."""
-    try:
-        found = spark.read.parquet(path)
-        return found.select(*[c.split()[0] for c in MANIFEST.split(", ")])
-    except AnalysisException:
+    """The manifest, the latest version of each page; a missing one is empty, and so is one with unreadable files. Another schema is an error."""
+    parts = []
+    for number, name in manifest_versions(spark, path):
+        try:
+            part = spark.read.parquet(f"{path}/{name}")
+        except (PySparkException, Py4JJavaError):
+            return spark.createDataFrame([], MANIFEST)
+        if lacking := set(_COLUMNS) - set(part.columns):
+            raise ValueError(f"{path} is no manifest: it lacks {sorted(lacking)}")
+        parts.append(part.select(*_COLUMNS, F.lit(number).alias("_version")))
+    if not parts:
         return spark.createDataFrame([], MANIFEST)
+    rows = reduce(DataFrame.unionByName, parts)
+    rest = [c for c in _COLUMNS if c != "source_doc"]
+    latest = rows.groupBy("source_doc").agg(F.max(F.struct("_version", "stored_at", *[F.col(c).alias(f"v_{c}") for c in rest])).alias("m"))
+    return latest.select("source_doc", *[F.col(f"m.v_{c}").alias(c) for c in rest]).select(*_COLUMNS)
+
+
+def _write_version(rows: DataFrame, path: str, kind: str) -> int:
+    versions = manifest_versions(rows.sparkSession, path)
+    number = versions[-1][0] + 1 if versions else 1
+    rows.select(*_COLUMNS).write.mode("overwrite").parquet(f"{path}/{kind}-{number:08d}")
+    return number
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """Written beside, then moved into place, so that readers see the old or the new one."""
+    """manifest as a new whole version; the versions before the last whole one are removed, which no reader needs any more."""
     spark = manifest.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    manifest.write.mode("overwrite").parquet(f"{path}.new")
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
-    fs = target.getFileSystem(conf)
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
+    needed = {name for _, name in manifest_versions(spark, path)}
+    _write_version(manifest, path, "whole")
+    fs, target = _files(spark, path)
+    current = {name for _, name in manifest_versions(spark, path)}
+    for s in fs.listStatus(target):
+        if s.getPath().getName() not in needed | current:
+            fs.delete(s.getPath(), True)
+
+
+def append_manifest(changes: DataFrame, path: str) -> None:
+    """Only the changed rows are written; after MOST_CHANGES times all are merged into one version."""
+    _write_version(changes, path, "changes")
+    if len(manifest_versions(changes.sparkSession, path)) > MOST_CHANGES:
+        write_manifest(read_manifest(changes.sparkSession, path), path)
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:

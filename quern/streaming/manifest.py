@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions.text import content_hash
 from quern.operators.ingest import merge_manifest
-from quern.sources.tables import read_manifest, write_manifest
+from quern.sources.tables import append_manifest, read_manifest
 
 
 def changed_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def changed_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def follow(pages: DataFrame, path: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
-    """Merge a stream of pages into the manifest at path, a micro-batch at a time.
+    """Keep the manifest at path up to date with a stream of pages: a micro-batch appends the rows it changes.
 
     A batch that runs again after a failure changes nothing, as its pages then have the stored hash.
     """
@@ -29,7 +29,7 @@ def follow(pages: DataFrame, path: str, checkpoint: str, *, available_now: bool
         old = read_manifest(batch.sparkSession, path)
         fresh = changed_pages(batch, old)
         if not fresh.isEmpty():
-            write_manifest(merge_manifest(old, fresh), path)
+            append_manifest(fresh, path)
 
     writer = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quern.functions.dates import date_from_url, effective_date, norm_date
 from quern.functions.text import site, strip, terms, url_host
 from quern.functions.weights import build_weights, parse_weights
-from quern.operators import explain, fusion, ingest, ranking, search, vectors
+from quern.operators import crawl, evaluation, explain, fusion, ingest, ranking, search, vectors
 from quern.sources import feeds, html, http, tables
 
 CAND = "qid int, route int, doc_id string, rank int, weight double"
@@ -59,8 +59,9 @@ def test_weights():
     assert build_weights(3, [0.5]) == [0.5] * 4
     assert build_weights(2, [1.0, 0.2, 0.3]) == [1.0, 0.2, 0.3]
     assert build_weights(2, rewrite=0.3, share_budget=False) == [1.0, 0.3, 0.3]
-    with pytest.raises(ValueError):
-        build_weights(4, [1.0, 0.1, 0.1])
+    for wrong in ([1.0, 0.1, 0.1], []):
+        with pytest.raises(ValueError):
+            build_weights(4, wrong)
     assert parse_weights("1.0, ,0.15") == [1.0, 0.15] and parse_weights("") is None
 
 
@@ -116,7 +117,7 @@ def test_nearest_vectors_equal_brute_force(spark):
     rng = random.Random(2)
     vecs = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(60)] + [[0.0] * 8]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)] + [(99, None)], "doc_id long, vec array<float>")
-    got = vectors.cosine_topk(df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), df, 5, block=2).collect()
+    got = vectors.cosine_topk(df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), df, 5, block=16).collect()
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
     for q in (0, 20, 40):
         want = sorted((round(1 - cos(vecs[q], v), 5), i) for i, v in enumerate(vecs[:60]))[:5]
@@ -131,7 +132,26 @@ def test_manifest_round_trip_and_merge(spark, tmp_path):
     tables.write_manifest(ingest.merge_manifest(one.limit(0), one), path)
     fresh = spark.createDataFrame([("v", "s4", 2, 1, "2024")], tables.MANIFEST)
     tables.write_manifest(ingest.merge_manifest(tables.read_manifest(spark, path), fresh), path)
-    assert {(r.source_doc, r.sha256) for r in tables.read_manifest(spark, path).collect()} == {("u", "s2"), ("v", "s4")}
+    state = lambda: {(r.source_doc, r.sha256) for r in tables.read_manifest(spark, path).collect()}
+    assert state() == {("u", "s2"), ("v", "s4")}
+    # changes are appended; a version whose writer died has no marker and doesn't count
+    tables.append_manifest(spark.createDataFrame([("w", "s5", 1, 1, "2026")], tables.MANIFEST), path)
+    (tmp_path / "m" / "whole-00000009").mkdir()
+    assert state() == {("u", "s2"), ("v", "s4"), ("w", "s5")}
+    for k in range(tables.MOST_CHANGES + 1):
+        tables.append_manifest(spark.createDataFrame([("w", f"t{k}", 1, 1, "2026")], tables.MANIFEST), path)
+    assert ("w", f"t{tables.MOST_CHANGES}") in state() and len(tables.manifest_versions(spark, path)) <= tables.MOST_CHANGES
+
+
+def test_a_broken_manifest_is_empty_and_another_table_an_error(spark, tmp_path):
+    broken = tmp_path / "b" / "whole-00000001"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"no parquet")
+    (broken / "_SUCCESS").touch()
+    assert tables.read_manifest(spark, str(tmp_path / "b")).count() == 0
+    spark.range(3).write.parquet(str(tmp_path / "o" / "whole-00000001"))
+    with pytest.raises(ValueError):
+        tables.read_manifest(spark, str(tmp_path / "o"))
 
 
 def test_streamed_manifest(spark, tmp_path):
@@ -209,6 +229,141 @@ def test_fetching_retries_only_what_may_succeed():
     assert not http.robots_allow(200, "User-agent: *\nDisallow: /x", "https://a/x/1") and http.robots_allow(200, "User-agent: *\nDisallow: /x", "https://a/y")
 
 
+def test_no_page_ends_the_job():
+    import gzip
+    from http.client import IncompleteRead
+
+    zipped = gzip.compress("Größe".encode() * 50)
+    quiet = lambda _: None
+    assert http.fetch("u", lambda _: (200, {}, zipped), quiet)[1].startswith("Größe")
+    assert http.fetch("u", lambda _: (200, {}, zipped[:-9]), quiet) == (200, "", "EOFError")
+
+    def fail(e):
+        def get(_):
+            raise e
+
+        return get
+
+    assert http.fetch("u", fail(IncompleteRead(b"")), quiet)[2] == "IncompleteRead"
+    assert http.fetch("http://[", fail(ValueError("bad")), quiet)[2] == "ValueError: bad"
+    assert http.decode_body('<meta CHARSET="GBK">中'.encode("gbk")) == '<meta CHARSET="GBK">中'
+    assert http.decode_body(b"<meta charset=nonsense>\xc3\xa9").endswith("é")
+    assert http.wait_asked({"retry-after": "2.5"}) == 2.5 and http.wait_asked({"Retry-After": "0"}) is None and http.wait_asked({"Retry-After": "Sat, 07 Mar 2026"}) is None
+    assert http.origin_of("http://[") is None and http.origin_of("mailto:x") is None and http.origin_of("https://a.example:1/x") == "https://a.example:1"
+
+
+def test_links_and_titles_of_odd_feeds():
+    atom = "<?xml version='1.0' encoding='utf-16'?><feed><entry><title>A &lt;b&gt;bold&lt;/b&gt; title</title><link/><link href='/x'/></entry></feed>"
+    assert feeds.parse_feed(atom, "https://a.example/") == [("A bold title", "https://a.example/x", "", "")]
+    assert feeds.parse_feed("\n <?xml version='1.0'?><rss><item><title>T</title><link>u</link></item></rss>", "")[0][:2] == ("T", "u")
+
+
+def test_blocks_of_nested_and_broken_markup():
+    assert html.read_blocks("<p>One <a href=x>two</a> three") == [("text", "One two three", False, 3)]
+    assert html.read_blocks("<div class='ad'>x<p>y</p></div>z<br/>w") == [("text", "z", False, 0), ("text", "w", False, 0)]
+    assert html.read_blocks("<main><h2>H</h2>\n<pre>a  b\n c</pre></main>") == [("h2", "H", True, 0), ("pre", "a  b\n c", True, 0)]
+    assert html.read_blocks(None) == [] and html.strip_markup("<nav>only menu</nav>") == "only menu"
+
+
+def test_chunks_have_their_text_and_section(spark):
+    text = "intro\n# One\n" + "a" * 2500 + "\n## Two\nb"
+    rows = ingest.two_level_chunks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("section_no", "parent_no", "child_no").collect()
+    assert {r.section for r in rows} == {"", "One", "Two"} and {r.doc_id for r in rows} == {1}
+    one = [r for r in rows if r.section == "One" and r.parent_no == 0]
+    assert all(r.text in r.parent_text and r.chars == len(r.text) for r in rows)
+    assert one[0].text + "".join(r.text[60:] for r in one[1:]) == one[0].parent_text and len(one[0].parent_text) == 2000
+
+
+def test_a_crawl_is_one_job_that_survives_its_pages(spark):
+    body = "<html><body><article><h1>Title of {n}</h1><p>" + "Words that make a paragraph long enough. " * 40 + "</p></article></body></html>"
+
+    def get(url):
+        if url.endswith("/robots.txt"):
+            return (200, {}, b"User-agent: *\nDisallow: /private") if "a.example" in url else (404, {}, b"")
+        if "broken" in url:
+            raise RuntimeError("boom")
+        if "gone" in url:
+            return 404, {}, b""
+        return 200, {}, (b"<p>short</p>" if "short" in url else body.replace("{n}", url[-1]).encode())
+
+    names = ["https://a.example/1", "https://a.example/2", "https://a.example/private", "https://a.example/broken", "https://b.example/gone", "https://b.example/short", "https://b.example/held", None, "not an address"]
+    items = spark.createDataFrame([("s", "t", u, "2026-01-02") for u in names], "source string, title string, url string, date string")
+    store = spark.createDataFrame([(1, "https://b.example/held", "other", True, None, 0, "x", "", "v1", None, ["public"]), (2, "https://a.example/1", "blog", True, None, 0, "old", "", "v1", None, ["public"])], "id long, source_doc string, collection string, is_parent boolean, parent_id long, chunk_index int, text string, section string, doc_version string, effective_date date, acl array<string>")
+    run = lambda m, **kw: crawl.crawl(items, store, m, collection="blog", acl=["public"], run_date="2026-03-01", stored_at="2026", get=get, sleep=lambda _: None, **kw)
+    got = run(spark.createDataFrame([], tables.MANIFEST))
+    fate = {r.url: (r.status, r.reason) for r in got.status.collect()}
+    assert fate == {
+        names[0]: ("ok", None), names[1]: ("ok", None), names[2]: ("skip", "robots"), names[3]: ("fail", "RuntimeError: boom"), names[4]: ("fail", "HTTP 404"),
+        names[5]: ("skip", "too short"), names[6]: ("skip", "another collection has it"), None: ("fail", "no address"), names[8]: ("fail", "bad address"),
+    }
+    parents = got.store.where("is_parent").collect()
+    assert {r.source_doc for r in parents} == {*names[:2], names[6]} and "old" not in {r.text for r in parents}
+    assert {str(r.effective_date) for r in parents if r.collection == "blog"} == {"2026-01-02"} and got.chunks.where("not is_parent").join(got.chunks.where("is_parent").selectExpr("id AS parent_id"), "parent_id", "left_anti").count() == 0
+    stats = got.stats.first()
+    assert (stats.ok, stats.skip, stats.fail) == (2, 3, 4) and stats.chunks == got.chunks.where("not is_parent").count() and "HTTP 404" in stats.fail_reasons
+    again = run(got.manifest)
+    assert {r.url for r in again.status.where("status = 'unchanged'").collect()} == set(names[:2]) and again.chunks.count() == 0
+    assert again.stats.first().saved_chunks == stats.chunks and run(got.manifest, force=True).status.where("status = 'ok'").count() == 2
+
+
+def test_articles_of_an_api(spark):
+    get = lambda url: (404, {}, b"") if url.endswith("robots.txt") else (200, {}, b'{"body_markdown": "# M"}') if url.endswith("/1") else (200, {}, b"no json")
+    ids = spark.createDataFrame([(1,), (2,), (None,)], "api_id long")
+    assert {(r.api_id, r.markdown) for r in http.api_markdown(ids, "https://api.example/articles/{}", get=get, sleep=lambda _: None).collect()} == {(1, "# M"), (2, "")}
+
+
+DOCS = [(1, "row lock in the storage engine", "c", ["public"]), (2, "vector index and row store", "c", ["team"]), (3, "page cache", "d", ["public"]), (4, "row lock row lock", "c", ["public"]), (5, None, "c", ["public"])]
+
+
+def test_search_by_two_routes_access_and_reranking(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, collection string, acl array<string>")
+    q = spark.createDataFrame([(1, "row lock", ["page cache"]), (2, " ", None)], "qid long, query string, variants array<string>")
+    found = lambda **kw: [(r.qid, r.doc_id) for r in search.search(q, docs, **kw).orderBy("qid", "place").collect()]
+    assert found()[0] == (1, 4) and {x for x, _ in found()} == {1} and found(k=0) == []
+    assert {i for _, i in found(collection="c", acl=["public"])} <= {1, 4}
+    backwards = lambda hits: hits.withColumn("rank", 100 - F.col("rank")).select("qid", "route", "doc_id", "rank")
+    assert found(rerank=backwards)[0] != (1, 4)
+    weights = {r.route: r.weight for r in search.routes(q, weights=[0.5]).collect()}
+    assert weights == {0: 0.5, 1: 0.5}
+    with pytest.raises(Exception, match="weights don't fit"):
+        search.routes(q, weights=[1.0, 0.1, 0.1]).collect()
+
+
+def test_explained_search(spark):
+    import json
+
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, collection string, acl array<string>")
+    q = spark.createDataFrame([(1, "row lock", ["page cache"])], "qid long, query string, variants array<string>")
+    hits, target = explain.explained(q, docs, spark.createDataFrame([(1, 3)], "qid long, doc_id long"), k=2)
+    assert explain.scan_depth(5) == 100 and explain.scan_depth(20) == 200 and explain.scan_depth(5, 7) == 7
+    got = json.loads(explain.explain_json(hits, target).first().json)
+    assert [h["rank"] for h in got["hits"]] == [1, 2] and got["hits"][0]["route_detail"][0]["label"] == "original"
+    assert got["target"]["fused_rank"] >= 1 and got["target"]["verdict"]
+
+
+def test_evaluation_runs_the_search(spark):
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t, _, _ in DOCS], "doc_id long, text string, source_doc string")
+    q = spark.createDataFrame([(1, "row lock", None), (2, "nothing here", None)], "qid long, query string, variants array<string>")
+    truth = spark.createDataFrame([(1, "s4"), (2, "s3")], "qid long, source_doc string")
+    got = evaluation.evaluate(q, truth, docs, k=1, vector=False).first()
+    assert (got.n, got.recall, got.mrr) == (2, 0.5, 0.5)
+    kept = evaluation.search_retention(q, docs, k=2).first()
+    assert kept.top_retention == 1.0 and kept.rewrite_only_per_query == 0.0
+
+
+def test_answers_become_an_evaluation_set(spark):
+    docs = spark.createDataFrame([(f"u{k}", "t" * 200, 2000) for k in range(4)], "source_doc string, title string, chars long")
+    raw = spark.createDataFrame([("u0", ' "行锁 等待"\nmore'), ("u1", "no ideographs"), ("u2", "短"), ("u3", None)], "source_doc string, raw string")
+    (row,) = evaluation.build_set(docs, raw).collect()
+    assert row.source_doc == "u0" and row.query.startswith("行锁 等待") and len(row.title) == 120
+
+
+def test_rewriting_only_where_it_is_needed(spark):
+    q = spark.createDataFrame([(1, "行锁", "a"), (2, "row lock", "b"), (3, "索引", "c")], "qid long, query string, key string")
+    cache = spark.createDataFrame([("a", ["row lock, 行", "x"]), ("b", ["other"])], "qhash string, variants array<string>")
+    assert {r.qid: r.variants for r in search.rewritten(q, cache).collect()} == {1: ["row lock"], 2: [], 3: []}
+
+
 def test_entry_points_agree():
     import __spark_entry__ as e
 
