@@ -9,6 +9,7 @@ import numpy as np
 
 #: One ideograph or kana, or a run of other letters and digits.
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,17 +24,18 @@ class WordHash:
         self.cache: dict[str, int] = {}
         self.most = most
 
-    def _miss(self, w: str) -> int:
-        b = w.encode("utf-8", "surrogatepass")
-        h = zlib.crc32(b) | zlib.crc32(b, 0x5BD1E995) << 32
-        if len(self.cache) >= self.most:
+    def _learn(self, words: set[str]) -> None:
+        if len(self.cache) + len(words) > self.most:
             self.cache.clear()
-        self.cache[w] = h
-        return h
+        for w in words.difference(self.cache):
+            b = w.encode("utf-8", "surrogatepass")
+            self.cache[w] = zlib.crc32(b) | zlib.crc32(b, 0x5BD1E995) << 32
 
     def __call__(self, ws: list[str]) -> np.ndarray:
-        get, miss = self.cache.get, self._miss
-        return np.fromiter((get(w) or miss(w) for w in ws), dtype=np.uint64, count=len(ws))
+        different = set(ws)
+        if not different <= self.cache.keys():
+            self._learn(different)
+        return np.fromiter(map(self.cache.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -56,3 +58,8 @@ def grams(h: np.ndarray, q: int) -> np.ndarray:
 def is_ideographic(ws: list[str]) -> bool:
     """Most words are single ideographs or kana."""
     return 2 * sum(len(w) == 1 and w >= "぀" for w in ws) > len(ws)
+
+
+def is_wide(text: str, n: int) -> bool:
+    """is_ideographic of the n words of a text, by its characters."""
+    return IDEOGRAPH.search(text) is not None and 2 * len(IDEOGRAPH.findall(text)) > n
