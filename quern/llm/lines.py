@@ -125,4 +125,9 @@ f AS (SELECT site, key FROM l JOIN s USING (site) WHERE length(key) >= 12 GROUP
 """
 
 QUERIES = {"p5_found": p5_found, "p5_sequences": p5_sequences, "p5_cleaned": p5_cleaned}
-SQL = {"p5_found": P5_SQL + "SELECT id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN f USING (site, key)"}
+SQL = {
+    "p5_found": P5_SQL + "SELECT id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN f USING (site, key)",
+    "p5_cleaned": P5_SQL
+    + """, c AS (SELECT p.id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(string_agg(CASE WHEN f.key IS NULL THEN l.line END, chr(10) ORDER BY l.line_no), '') END AS text
+ FROM p LEFT JOIN l ON l.id = p.id LEFT JOIN f ON f.site = l.site AND f.key = l.key GROUP BY p.id, p.text) SELECT id, sha256(text) AS sha256, length(text) AS chars FROM c""",
+}

@@ -189,9 +189,9 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
 
 
 def outliers(stats: DataFrame, *, quantile: float = 0.5) -> DataFrame:
-    """(id, score) of the texts whose score is at least that of the given share of their group: the cut follows from the group's own scores."""
+    """(id, score) of the texts whose score is greater than that of the given share of their group: the cut follows from the group's own scores."""
     scores = cut(outlier_scores(cut(with_group(stats))))
-    cdf = group_cdf(scores, ["group"], "score").where(F.col("upto") >= F.col("size") * quantile).select("group", "score")
+    cdf = group_cdf(scores, ["group"], "score").where(F.col("below") >= F.col("size") * quantile).select("group", "score")
     return scores.join(cdf, ["group", "score"], "left_semi").select("id", "score")
 
 
