@@ -200,22 +200,25 @@ def _outside(text: str, host: str, own: dict[int, bool], common: dict[int, bool]
             yield k + 1
 
 
-def _classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        ids, numbers = [], []
-        made: dict[tuple, dict[int, bool]] = {}
-        for i, host, text, own, common in zip(df["id"], df["host"], df["text"], df["own"], df["common"], strict=True):
-            if not text:
-                continue
-            key = (host, len(own) if own is not None else 0)
-            if key not in made:
-                made[key] = _places(own)
-            if ("",) not in made:
-                made[("",)], made[("strong",)] = _places(common), _places(t for t in common if int(t) & 2)
-            found = list(_outside(text, host or "", made[key], made[("",)], made[("strong",)]))
-            ids += [i] * len(found)
-            numbers += found
-        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32")})
+def _classify(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = _places(shared.value)
+        strong = _places(t for t in shared.value if int(t) & 2)
+        for df in batches:
+            ids, numbers = [], []
+            made: dict[tuple, dict[int, bool]] = {}
+            for i, host, text, own in zip(df["id"], df["host"], df["text"], df["own"], strict=True):
+                if not text:
+                    continue
+                key = (host, len(own) if own is not None else 0)
+                if key not in made:
+                    made[key] = _places(own)
+                found = list(_outside(text, host or "", made[key], common, strong))
+                ids += [i] * len(found)
+                numbers += found
+            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32")})
+
+    return run
 
 
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
@@ -231,9 +234,9 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
     # hashes leave two bits, for the place and the strength
     packed = lambda: F.shiftleft(F.col("token"), 2) + F.col("strong").cast("long") * 2 + F.col("tail").cast("long")
     own = by_host.groupBy("host").agg(F.collect_list(packed()).alias("own"))
-    common = everywhere.agg(F.collect_list(packed()).alias("common"))  # one row, at most (tokens of a page) / all_share
-    joined = pages.join(own, "host", "left").join(F.broadcast(common))
-    return joined.select("id", "host", "text", "own", "common").mapInPandas(_classify, FOUND).dropDuplicates()
+    common = everywhere.select(packed().alias("t")).toPandas()["t"].to_numpy()  # at most (tokens of a page) / all_share
+    shared = pages.sparkSession.sparkContext.broadcast(common)
+    return pages.join(own, "host", "left").select("id", "host", "text", "own").mapInPandas(_classify(shared), FOUND).dropDuplicates()
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:

@@ -142,9 +142,11 @@ def test_bounds_never_exceed_the_metric_and_batches_one_by_one_give_the_same(spa
         x, y = words(texts[r.x]), words(texts[r.y])
         near = dedup.distance(x, y) <= len(x) + len(y) - 1.5 * max(len(x), len(y))
         assert r.may or not near
+    assert dedup.loads_of([(1, 10), (2, 10), (3, 30), (4, 20), (5, 5), (6, 99)], 45) == [[1], [2, 3], [4, 5], [6]]
     docs = spark.createDataFrame(near_copies(), "id long, batch long, text string")
     together = {r.id: r.repeats for r in dedup.admit(docs)[0].collect()}
     assert {r.id: r.repeats for r in dedup.take_batches(docs)[0].collect()} == together
+    assert {r.id: r.repeats for r in dedup.take_batches(docs, last_alone=True)[0].collect()} == together
 
 
 # ---- 3
