@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import has_cjk, strip
 from quern.functions.weights import MAX_REWRITES, REWRITE_DAMPEN, route_weight
 from quern.operators.fusion import rrf_fuse, top_k
-from quern.operators.lexical import bm25_topk
+from quern.operators.lexical import best_matches, numbered
 from quern.operators.vectors import cosine_topk, hash_embedding
 
 
@@ -67,46 +67,53 @@ def readable(docs: DataFrame, collection: str | None, acl: list[str] | None) ->
     return docs
 
 
+def near_texts(texts: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
+    """(text_id, doc_id, rank, distance): the nearest documents of each of texts(text_id, query) by hashed embeddings."""
+    vectors = hash_embedding(texts, id_col="text_id", text_col="query").withColumnRenamed("doc_id", "qid")
+    return cosine_topk(vectors, hash_embedding(docs), depth).withColumnRenamed("qid", "text_id").select("text_id", "doc_id", "rank", "distance")
+
+
 def vector_routes(asked: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
-    """(qid, route, doc_id, rank, distance): each route's nearest documents by hashed embeddings."""
-    keyed = asked.select(F.struct("qid", "route").alias("key"), F.to_json(F.struct("qid", "route")).alias("doc_id"), "query")
-    vectors = hash_embedding(keyed, text_col="query").withColumnRenamed("doc_id", "qid")
-    near = cosine_topk(vectors, hash_embedding(docs), depth).withColumnRenamed("qid", "_key")
-    names = keyed.select("key.qid", "key.route", F.col("doc_id").alias("_key"))
-    return near.join(names, "_key").select("qid", "route", "doc_id", "rank", "distance")
+    """(qid, route, doc_id, rank, distance): each route's nearest documents by hashed embeddings; equal wordings are looked for once."""
+    texts = numbered(asked)
+    return asked.select("qid", "route", "query").join(texts, "query").join(near_texts(texts, docs, depth), "text_id").select("qid", "route", "doc_id", "rank", "distance")
 
 
-def recall(asked: DataFrame, docs: DataFrame, depth: int, *, lexical: bool = True, vector: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def recall(asked: DataFrame, docs: DataFrame, depth: int, *, lexical: bool = True, vector: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None, near: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(qid, route, doc_id, rank): each route's documents in order, those of BM25 and of the nearest vectors fused as equals.
 
-    asked(qid, route, query), docs(doc_id, text). rerank: gets (qid, route, query, doc_id, text, rank) and returns
-    (qid, route, doc_id, rank) in its own order.
+    asked(qid, route, query), docs(doc_id, text). Each different wording is looked for once. rerank: gets (qid, route, query, doc_id,
+    text, rank) and returns (qid, route, doc_id, rank) in its own order. near: the numbered wordings and what near_texts gave
+    for them, at least as deep, if that is known already.
     """
     docs = docs.select("doc_id", "text")
+    texts, known = near or (numbered(asked), None)
     lists = []
     if lexical:
-        lists.append(bm25_topk(asked, docs, depth).select("qid", "route", "doc_id", "rank", F.lit(0).alias("list")))
+        lists.append(best_matches(texts, docs, depth).select("text_id", "doc_id", "rank", F.lit(0).alias("list")))
     if vector:
-        lists.append(vector_routes(asked, docs, depth).select("qid", "route", "doc_id", "rank", F.lit(1).alias("list")))
+        found = near_texts(texts, docs, depth) if known is None else known.where(F.col("rank") < depth)
+        lists.append(found.select("text_id", "doc_id", "rank", F.lit(1).alias("list")))
     if len(lists) == 1:
-        order = lists[0].select("qid", "route", "doc_id", "rank")
+        order = lists[0].select("text_id", "doc_id", "rank")
     else:
-        both = lists[0].unionByName(lists[1]).select(F.struct("qid", "route").alias("qid"), F.col("list").alias("route"), "doc_id", "rank", F.lit(1.0).alias("weight"))
+        both = lists[0].unionByName(lists[1]).select(F.col("text_id").alias("qid"), F.col("list").alias("route"), "doc_id", "rank", F.lit(1.0).alias("weight"))
         fused = rrf_fuse(both, dedup=True).withColumn("score", F.round("score", 9))
-        order = top_k(fused, depth).select("qid.qid", "qid.route", "doc_id", (F.col("place") - 1).alias("rank"))
+        order = top_k(fused, depth).select(F.col("qid").alias("text_id"), "doc_id", (F.col("place") - 1).alias("rank"))
+    routed = asked.select("qid", "route", "query").join(texts, "query").join(order, "text_id").drop("text_id")
     if rerank is None:
-        return order
-    return rerank(order.join(asked.select("qid", "route", "query"), ["qid", "route"]).join(docs, "doc_id")).select("qid", "route", "doc_id", "rank")
+        return routed.select("qid", "route", "doc_id", "rank")
+    return rerank(routed.join(docs, "doc_id")).select("qid", "route", "doc_id", "rank")
 
 
 def route_depth(k: int, per_route: int | None = None) -> int:
     return per_route if per_route and per_route > 0 else max(2 * k, 10)
 
 
-def route_hits(queries: DataFrame, docs: DataFrame, *, k: int = 5, per_route: int | None = None, collection: str | None = None, acl: list[str] | None = None, lexical: bool = True, vector: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None, **weighing: object) -> DataFrame:
+def route_hits(queries: DataFrame, docs: DataFrame, *, k: int = 5, per_route: int | None = None, collection: str | None = None, acl: list[str] | None = None, lexical: bool = True, vector: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None, near: tuple[DataFrame, DataFrame] | None = None, **weighing: object) -> DataFrame:
     """(qid, route, doc_id, rank, weight): what each route of queries(qid, query, variants) finds, before fusion."""
     r = routes(queries, **weighing)
-    found = recall(r, readable(docs, collection, acl), route_depth(k, per_route), lexical=lexical, vector=vector, rerank=rerank)
+    found = recall(r, readable(docs, collection, acl), route_depth(k, per_route), lexical=lexical, vector=vector, rerank=rerank, near=near)
     return found.join(r.select("qid", "route", "weight"), ["qid", "route"])
 
 

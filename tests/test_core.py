@@ -420,3 +420,14 @@ def test_a_repeated_id_is_one_document(spark):
     got = lexical.bm25_topk(asked, docs, 5).orderBy("rank").collect()
     idf, part = __import__("math").log((3 - 2 + 0.5) / (2 + 0.5) + 1), lambda tf, dl: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (5 / 3)))
     assert [(r.doc_id, r.score) for r in got] == [(1, round(idf * (part(2, 2) + part(2, 1)), 6)), (2, round(idf * part(1, 2), 6))]
+
+
+def test_equal_wordings_are_looked_for_once(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, collection string, acl array<string>")
+    q = spark.createDataFrame([(i, "row lock", ["page cache", "row lock"]) for i in range(4)], "qid long, query string, variants array<string>")
+    sizes, usual = [], search.cosine_topk
+    monkeypatch.setattr(search, "cosine_topk", lambda asked, *a: (sizes.append(asked.count()), usual(asked, *a))[1])
+    hits = search.search(q, docs, k=2).collect()
+    assert sizes == [2] and len({(r.doc_id, r.score, r.place) for r in hits}) == 2 and len(hits) == 8
+    kept = evaluation.search_retention(q, docs, k=2).first()
+    assert sizes == [2, 2] and kept.n == 4
