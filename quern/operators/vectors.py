@@ -2,49 +2,67 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.text import terms
+from quern.operators.best import Best
 
 #: Numbers in a block of query vectors, which is sent to all tasks: 32 MB.
 BLOCK = 4_000_000
 
 
-def _distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Cosine distances, rounded so that equal ones tie; infinite where a vector is zero."""
-    nq, nd = np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dist = np.round(1 - (q @ d.T) / np.outer(nq, nd), 6) + 0.0  # no negative zero
-    dist[~np.isfinite(dist)] = np.inf
-    return dist
+#: Terms whose hashes a task keeps.
+MOST_HASHES = 200_000
+#: Products of vectors that are held at once.
+PRODUCTS = 4_000_000
+
+
+def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """q @ d.T. Small whole numbers, as of hashed embeddings, are multiplied in single precision, which is exact for them."""
+    if len(d) and np.abs(q).sum(axis=1).max() * np.abs(d).max() < 2**24 and (q == np.rint(q)).all() and (d == np.rint(d)).all():
+        return q.astype(np.float32) @ d.astype(np.float32).T
+    return q @ d.T
+
+
+def _vectors(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _add_nearest(best: Best, q: np.ndarray, nq: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+    """Cosine distances, rounded so that equal ones tie; only those that can be among a query's best are worked out."""
+    nd = np.linalg.norm(d, axis=1)
+    d, ids, nd = d[nd > 0], ids[nd > 0], nd[nd > 0]
+    if not len(d):
+        return
+    dot = _products(q, d)
+    like = dot / nd.astype(dot.dtype)
+    least = (1 - best.limit - 1e-5) * nq
+    some = np.nonzero(np.isinf(least))[0]
+    if len(some):
+        far = max(len(d) - best.k, 0)
+        least[some] = np.partition(like[some], far, axis=1)[:, far] - 1e-5 * nq[some]
+    i, j = np.nonzero(like >= least.astype(dot.dtype)[:, None])
+    best.add(i, np.round(1 - dot[i, j].astype(np.float64) / (nq[i] * nd[j]), 6) + 0.0, ids[j])  # no negative zero
 
 
 def _nearest(shared, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object)) for _ in qids]
-        for df in batches:
-            ids, dist = df["doc_id"].to_numpy(), _distances(q, np.vstack(df["vec"]).astype(np.float64))
-            for i, (old, old_ids) in enumerate(kept):
-                row = dist[i]
-                if len(old) == k:
-                    near = np.nonzero(row <= old[-1])[0]
-                    if not len(near):
-                        continue
-                else:
-                    near = np.arange(len(row))
-                both, names = np.concatenate([old, row[near]]), np.concatenate([old_ids, ids[near]])
-                best = np.lexsort((names, both))[:k] if names.dtype != object else np.array(sorted(range(len(both)), key=lambda j: (both[j], names[j]))[:k], dtype=int)
-                kept[i] = both[best], names[best]
-        rows = [(qid, doc, float(x)) for qid, (near, docs) in zip(qids, kept, strict=True) for x, doc in zip(near, docs, strict=True) if np.isfinite(x)]
-        if rows:
-            yield pd.DataFrame(rows, columns=["qid", "doc_id", "distance"])
+        nq, best, step = np.linalg.norm(q, axis=1), Best(len(q), k), max(64, PRODUCTS // len(q))
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for at in range(0, len(ids), step):
+                _add_nearest(best, q, nq, _vectors(batch.column("vec").slice(at, step)), ids[at : at + step])
+        for rows in best.rows(qids, "distance"):
+            yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
     return run
 
@@ -67,9 +85,11 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, *, block: int = B
     found = spark.createDataFrame([], schema)
     for b in range(n_blocks):
         some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).toPandas()  # about BLOCK numbers
-        if len(some):
-            shared = spark.sparkContext.broadcast((some["qid"].to_numpy(), np.vstack(some["vec"]).astype(np.float64)))
-            found = found.unionByName(docs.mapInPandas(_nearest(shared, k), schema))
+        q = np.vstack(some["vec"]).astype(np.float64) if len(some) else np.zeros((0, 1))
+        good_q = np.linalg.norm(q, axis=1) > 0
+        if good_q.any():
+            shared = spark.sparkContext.broadcast((some["qid"].to_numpy()[good_q], q[good_q]))
+            found = found.unionByName(docs.mapInArrow(_nearest(shared, k), schema))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "doc_id"))
     return found.withColumn("place", place).where(F.col("place") <= k).select("qid", "doc_id", "distance", (F.col("place") - 1).cast("long").alias("rank"))
 
@@ -84,24 +104,33 @@ def collapse_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return first.select("qid", "parent_id", F.col("m.distance").alias("distance"), (place - 1).cast("long").alias("rank"))
 
 
-def term_hash(term: Column) -> Column:
-    """32 bits of a term's MD5."""
-    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")
-
-
 def _folded(size: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(hashes: pd.Series) -> pd.Series:
-        out = []
-        for h in hashes:
-            h = np.asarray(h, dtype=np.int64)
-            out.append(np.bincount(h % size, np.where(h // size % 2 == 0, 1.0, -1.0), minlength=size).astype(np.float32))
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, len(whole), 1000)):
+            words = batch.column("words")
+            coded = words.flatten().dictionary_encode()
+            different = coded.dictionary.to_pylist()
+            if len(known) + len(different) > MOST_HASHES:
+                known.clear()
+            for w in different:
+                if w not in known:
+                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            h = np.array([known[w] for w in different], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            cell = np.repeat(np.arange(len(batch)), pc.list_value_length(words).to_numpy(zero_copy_only=False)) * size + h % size
+            vec = np.bincount(cell, np.where(h // size % 2 == 0, 1.0, -1.0), minlength=len(batch) * size).reshape(len(batch), size)
+            good = np.nonzero(vec.any(axis=1))[0]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(good) + 1, dtype=np.int32) * size), pa.array(vec[good].astype(np.float32).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(good)), lists], ["doc_id", "vec"])
 
     return run
 
 
 def hash_embedding(docs: DataFrame, *, size: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, vec): signed feature hashing of the text's terms, in whole numbers; texts whose terms cancel out or are none have no vector."""
-    hashed = docs.select(F.col(id_col).alias("doc_id"), F.transform(terms(F.col(text_col)), term_hash).alias("h")).where(F.size("h") > 0)
-    return hashed.select("doc_id", _folded(size)("h").alias("vec")).where(F.exists("vec", lambda x: x != 0))
+    """(doc_id, vec): signed feature hashing of the text's terms, in whole numbers; texts whose terms cancel out or are none have no vector.
+
+    A term counts by the first 32 bits of its MD5, which are worked out once for all its places in a batch.
+    """
+    words = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    kind = T.StructType([words.schema["doc_id"], T.StructField("vec", T.ArrayType(T.FloatType()))])
+    return words.mapInArrow(_folded(size), kind)

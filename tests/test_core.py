@@ -431,3 +431,14 @@ def test_equal_wordings_are_looked_for_once(spark, monkeypatch):
     assert sizes == [2] and len({(r.doc_id, r.score, r.place) for r in hits}) == 2 and len(hits) == 8
     kept = evaluation.search_retention(q, docs, k=2).first()
     assert sizes == [2, 2] and kept.n == 4
+
+
+def test_hashed_embeddings_are_sums_over_terms(spark):
+    import hashlib
+
+    rows = {r.doc_id: list(r.vec) for r in vectors.hash_embedding(spark.createDataFrame([(1, "row 数据库 row"), (2, None), (3, " ")], "doc_id long, text string"), size=16).collect()}
+    want = [0.0] * 16
+    for w in ("row", "row", "数据", "据库"):
+        h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        want[h % 16] += 1.0 if h // 16 % 2 == 0 else -1.0
+    assert rows == {1: want}
