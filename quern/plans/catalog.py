@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.functions.dates import date_from_url, effective_date, norm_date
 from quern.operators import evaluation, explain, fusion, ingest, lexical, search, vectors
-from quern.session import read
+from quern.session import cut, read
 from quern.sources import feeds, html, tables
 
 QUERIES: dict = {}
@@ -427,8 +427,9 @@ def lexical_and_vector(spark: SparkSession, d: str) -> DataFrame:
 def search_json(spark: SparkSession, d: str) -> DataFrame:
     """A JSON line for each query with its hits in order, written and read back."""
     docs = read(spark, d, "documents").select("doc_id", "title", "text")
-    hits = search.search(read(spark, d, "rewrites"), docs).join(docs.select("doc_id", "title", tx.snippet(F.col("text")).alias("snippet")), "doc_id")
-    lines = search.hits_json(hits)
+    hits = cut(search.search(read(spark, d, "rewrites"), docs))
+    shown = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "title", tx.snippet(F.col("text")).alias("snippet"))
+    lines = search.hits_json(hits.join(shown, "doc_id"))
     schema = "struct<qid:bigint,hits:array<struct<place:bigint,doc_id:bigint,score:double,n_routes:bigint,title:string,snippet:string>>>"
     return lines.select(F.from_json("json", schema).alias("j")).select("j.qid", F.inline("j.hits"))
 
