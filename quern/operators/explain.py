@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quern.functions.weights import REWRITE_DAMPEN, RRF_K, contribution, route_label
 from quern.operators.fusion import fuse_positions, provenance
-from quern.operators.search import fused_hits, readable, route_hits, routes, vector_routes
+from quern.operators.lexical import numbered
+from quern.operators.search import fused_hits, near_texts, readable, route_depth, route_hits, routes, vector_routes
 from quern.operators.vectors import collapse_parents
+from quern.session import cut
 
 
 def contributions(scans: DataFrame) -> DataFrame:
@@ -33,9 +35,11 @@ def attach_distance(hits: DataFrame, scans: DataFrame) -> DataFrame:
     return hits.join(least, ["qid", "route", "doc_id"], "left")
 
 
-def diagnose(scans: DataFrame, targets: DataFrame, *, k: int = 5, dampen: float = 0.35, rrf_k: int = RRF_K) -> DataFrame:
+def diagnose(scans: DataFrame, targets: DataFrame, *, k: int = 5, dampen: float = 0.35, rrf_k: int = RRF_K, asked: DataFrame | None = None) -> DataFrame:
     """(qid, hit_routes, missed_routes, fused_score, fused_rank, verdict) of each query's target, which may be several documents.
 
+    asked(qid): the queries that have a target, where targets has only those documents of it that the scans have.
+
     The fused score adds each route's first target, damped where route 0 has any target; the fused rank is the best
     place of a single target in the fused order of all scans.
     """
@@ -46,7 +50,7 @@ def diagnose(scans: DataFrame, targets: DataFrame, *, k: int = 5, dampen: float
     score = F.aggregate("hits", F.lit(0.0), lambda acc, h: acc + h["weight"] / (rrf_k + h["rank"]) * damp(h))
     fused = fuse_positions(scans.withColumn("pos", F.col("rank")), k=rrf_k, dampen=dampen).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("long"))
     best = fused.join(targets.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.min("place").alias("fused_rank"))
-    asked = targets.select("qid").distinct()
+    asked = (targets if asked is None else asked).select("qid").distinct()
     d = asked.join(all_routes, "qid").join(per, "qid", "left").join(best, "qid", "left")
     hit = F.coalesce(F.transform("hits", lambda h: h["route"]), F.array().cast("array<int>"))
     verdict = (
@@ -76,15 +80,24 @@ def scan_routes(queries: DataFrame, docs: DataFrame, *, k: int = 5, scan_k: int
     return near.join(r.select("qid", "route", "weight"), ["qid", "route"])
 
 
-def explained(queries: DataFrame, docs: DataFrame, targets: DataFrame | None = None, *, k: int = 5, scan_k: int | None = None, per_route: int | None = None, dampen: float = REWRITE_DAMPEN, collection: str | None = None, acl: list[str] | None = None, **weighing: object) -> tuple[DataFrame, DataFrame | None]:
+def traced(queries: DataFrame, docs: DataFrame, *, k: int = 5, scan_k: int | None = None, per_route: int | None = None, collection: str | None = None, acl: list[str] | None = None, **weighing: object) -> tuple[DataFrame, DataFrame]:
+    """(scans, found): what scan_routes and route_hits give for a search, from one pass over the documents' vectors; both are kept."""
+    docs = readable(docs, collection, acl)
+    r = routes(queries, **weighing)
+    texts = numbered(r)
+    near = cut(near_texts(texts, docs, max(scan_depth(k, scan_k), route_depth(k, per_route))))
+    asked = r.select("qid", "route", "query", "weight").join(texts, "query")
+    scans = asked.join(near.where(F.col("rank") < scan_depth(k, scan_k)), "text_id").select("qid", "route", "doc_id", "rank", "distance", "weight")
+    return cut(scans), cut(route_hits(queries, docs, k=k, per_route=per_route, near=(texts, near), **weighing))
+
+
+def explained(queries: DataFrame, docs: DataFrame, targets: DataFrame | None = None, *, k: int = 5, dampen: float = REWRITE_DAMPEN, **how: object) -> tuple[DataFrame, DataFrame | None]:
     """(hits, target): a search with all that led to its hits, and what became of the targets(qid, doc_id).
 
     hits: (qid, place, doc_id, rrf, route, label, rank, ann_dist, contribution), a row for each hit and route that found
-    it; target: diagnose's row for each query that has targets.
+    it; target: diagnose's row for each query that has targets. how: what traced takes.
     """
-    docs = readable(docs, collection, acl)
-    scans = scan_routes(queries, docs, k=k, scan_k=scan_k, **weighing)
-    found = route_hits(queries, docs, k=k, per_route=per_route, **weighing)
+    scans, found = traced(queries, docs, k=k, **how)
     best = fused_hits(found, k, dampen=dampen)
     where = provenance(found).join(found.select("qid", "route", "weight").distinct(), ["qid", "route"])
     detail = best.select("qid", "doc_id", "place", F.col("score").alias("rrf")).join(where, ["qid", "doc_id"]).withColumn("rank", F.col("pos"))

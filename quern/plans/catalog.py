@@ -493,21 +493,11 @@ def explain_original_distance(spark: SparkSession, d: str) -> DataFrame:
 _EXPLAIN = f"WITH {_ROUTES}, {_DOCUMENTS}, {_recall_sql(10, 100)}"
 
 
-def _explained(spark: SparkSession, d: str, aimed: bool) -> tuple[DataFrame, DataFrame | None]:
-    docs = read(spark, d, "documents").select("doc_id", "text", "source")
-    asked = read(spark, d, "rewrites")
-    targets = None
-    if aimed:  # all documents of the source that the first hit is of
-        first = search.search(asked, docs, k=1).select("qid", "doc_id").join(docs.select("doc_id", "source"), "doc_id").select("qid", "source")
-        targets = first.join(docs.select("source", "doc_id"), "source").select("qid", "doc_id")
-    return explain.explained(asked, docs, targets)
-
-
 @query(f"""{_EXPLAIN} SELECT p.qid, p.place, p.doc_id, p.score AS rrf, f.route, CASE WHEN f.route = 0 THEN 'original' ELSE 'rewrite ' || f.route END AS label, f.rank, s.distance AS ann_dist, round(f.weight / (60 + f.rank), 9) AS contribution
  FROM placed p JOIN flagged f USING (qid, doc_id) LEFT JOIN scanned s ON s.qid = f.qid AND s.route = f.route AND s.doc_id = f.doc_id WHERE p.place <= 5""")
 def explain_json(spark: SparkSession, d: str) -> DataFrame:
     """What led to each hit, as a JSON object a query, written and read back."""
-    hits, _ = _explained(spark, d, False)
+    hits, _ = explain.explained(read(spark, d, "rewrites"), read(spark, d, "documents").select("doc_id", "text"))
     schema = "struct<qid:bigint,hits:array<struct<rank:bigint,doc_id:bigint,rrf:double,route_detail:array<struct<route:int,label:string,rank:bigint,ann_dist:double,contribution:double>>>>>"
     each = explain.explain_json(hits).select(F.from_json("json", schema).alias("j")).select("j.qid", F.explode("j.hits").alias("h"))
     return each.select("qid", F.col("h.rank").alias("place"), "h.doc_id", "h.rrf", F.explode("h.route_detail").alias("r")).select("qid", "place", "doc_id", "rrf", "r.*")
@@ -524,8 +514,13 @@ SELECT qid, round(coalesce(s, 0), 9) AS fused_score, fused_rank, n - coalesce(le
  WHEN NOT list_contains(hits, 0) THEN 'recalled by rewrites only' WHEN fused_rank > 5 THEN 'recalled but below the top k' ELSE 'in the top k' END AS verdict
 FROM (SELECT DISTINCT qid FROM targets) JOIN n USING (qid) LEFT JOIN per USING (qid) LEFT JOIN sc USING (qid) LEFT JOIN b USING (qid)""")
 def explain_target(spark: SparkSession, d: str) -> DataFrame:
-    """What became of a target in a search and in its far deeper scans."""
-    _, target = _explained(spark, d, True)
+    """What became of all documents of the source that the first hit is of, in a search and in its far deeper scans."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "source")
+    scans, found = explain.traced(read(spark, d, "rewrites"), docs)
+    sources = docs.select("doc_id", "source")
+    aimed = cut(search.fused_hits(found, 1).select("qid", "doc_id").join(sources, "doc_id").select("qid", "source").where("source is not null"))
+    seen = scans.select("qid", "doc_id").distinct().join(sources, "doc_id").join(aimed, ["qid", "source"], "left_semi").select("qid", "doc_id")
+    target = explain.diagnose(scans, seen, k=5, asked=aimed)
     return target.select("qid", "fused_score", "fused_rank", F.size("missed_routes").cast("long").alias("missed"), "verdict")
 
 

@@ -431,6 +431,16 @@ def test_equal_wordings_are_looked_for_once(spark, monkeypatch):
     assert sizes == [2] and len({(r.doc_id, r.score, r.place) for r in hits}) == 2 and len(hits) == 8
     kept = evaluation.search_retention(q, docs, k=2).first()
     assert sizes == [2, 2] and kept.n == 4
+    sizes.clear()
+    explain.explained(q, docs, spark.createDataFrame([(1, 3)], "qid long, doc_id long"), k=2)
+    assert sizes == [2]  # the scans and the search have one pass
+
+
+def test_diagnosis_of_queries_whose_target_no_scan_has(spark):
+    scans = spark.createDataFrame([(1, 0, "a", 0, 1.0, 0.1), (2, 0, "b", 0, 1.0, 0.1)], CAND.replace("weight double", "weight double, distance double"))
+    seen = spark.createDataFrame([(1, "a")], "qid int, doc_id string")
+    got = {r.qid: r.verdict for r in explain.diagnose(scans, seen, asked=spark.createDataFrame([(1,), (2,)], "qid int")).collect()}
+    assert got == {1: "recalled by the original query only", 2: "not recalled by any route"}
 
 
 def test_hashed_embeddings_are_sums_over_terms(spark):
