@@ -439,3 +439,21 @@ def test_subjects_of_few_documents_are_found_in_a_large_corpus(spark):
     labels = [(i, "main") for i in range(0, 1500, 10)] + [(2000 + 3 * k, f"rare{k}") for k in range(30)]
     got = subjects.document_subjects(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")).where("doc_id >= 2000").collect()
     assert {(r.doc_id, r.subject) for r in got} == {(2000 + 3 * k + j, f"rare{k}") for k in range(30) for j in range(3)}
+
+
+def test_words_of_few_texts_are_sent_and_not_shuffled_with_the_pairs(spark, monkeypatch):
+    df = spark.createDataFrame(near_copies(), "id long, batch long, text string")
+    rows = dedup.cut(dedup.fingerprints(df))
+    texts = rows.select("id", "words")
+    pairs = rows.alias("a").join(rows.alias("b"), F.expr("a.id < b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+    found = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (dedup.MOST_WORDS, 0):
+            monkeypatch.setattr(dedup, "MOST_WORDS", most)
+            got = dedup.verified_pairs(dedup.cut(pairs), lambda ids: texts.join(ids, "id", "left_semi"), 0.75)
+            assert ("SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+            found[most] = {tuple(r) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len({frozenset(x) for x in found.values()}) == 1 and len(found[0]) > 20
