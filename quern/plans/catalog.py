@@ -428,7 +428,8 @@ def search_json(spark: SparkSession, d: str) -> DataFrame:
     """A JSON line for each query with its hits in order, written and read back."""
     docs = read(spark, d, "documents").select("doc_id", "title", "text")
     hits = cut(search.search(read(spark, d, "rewrites"), docs))
-    shown = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "title", tx.snippet(F.col("text")).alias("snippet"))
+    ids = hits.select("doc_id").distinct()
+    shown = docs.join(F.broadcast(ids) if hits.count() <= 1_000_000 else ids, "doc_id", "left_semi").select("doc_id", "title", tx.snippet(F.col("text")).alias("snippet"))
     lines = search.hits_json(hits.join(shown, "doc_id"))
     schema = "struct<qid:bigint,hits:array<struct<place:bigint,doc_id:bigint,score:double,n_routes:bigint,title:string,snippet:string>>>"
     return lines.select(F.from_json("json", schema).alias("j")).select("j.qid", F.inline("j.hits"))
