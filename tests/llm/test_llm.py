@@ -441,6 +441,32 @@ def test_subjects_of_few_documents_are_found_in_a_large_corpus(spark):
     assert {(r.doc_id, r.subject) for r in got} == {(2000 + 3 * k + j, f"rare{k}") for k in range(30) for j in range(3)}
 
 
+def test_no_pair_that_shares_enough_is_left_out(spark):
+    """Runs of four words, the least that count; short texts; ideographs among words: all pairs beside brute force."""
+    rng, texts = random.Random(5), []
+    ideograph = lambda: chr(0x4E00 + rng.randrange(3000))
+    for k in range(40):
+        ws = [ideograph() if rng.random() < (k % 8) / 7 else f"w{rng.randrange(10**5)}" for _ in range(rng.choice([2, 3, 4, 5, 6, 7, 8, 40, 100, 300]))]
+        texts.append(ws)
+        for every in (5, 6, 7, 9):
+            texts.append([f"x{rng.randrange(10**5)}" if i % every == every - 1 else w for i, w in enumerate(ws)])
+        runs = [ws[i : i + 6] for i in range(0, len(ws), 6)]
+        texts += [[w for run in rng.sample(runs, len(runs)) for w in run], ws[: -max(1, len(ws) // 4)], [ideograph() if i % 8 == 7 else w for i, w in enumerate(ws)]]
+    docs = [(k, k % 3, " ".join(ws)) for k, ws in enumerate(texts)]
+    before = sorted(docs, key=lambda r: (r[1], r[0]))
+    split = {i: words(t) for i, _, t in docs}
+    near = lambda x, y: min(len(x), len(y)) >= 0.75 * max(len(x), len(y)) and dedup.distance(x, y) <= len(x) + len(y) - 1.5 * max(len(x), len(y)) and dedup.shared_share(x, y) >= 0.75
+    wanted = {(a, b) for j, (b, *_) in enumerate(before) for a, *_ in before[:j] if near(split[a], split[b])}
+    rows = dedup.cut(dedup.fingerprints(spark.createDataFrame(docs, "id long, batch long, text string")))
+    of = lambda ids: rows.select("id", "words").join(ids, "id", "left_semi")
+    found = lambda new, base: {(r.a, r.b) for r in dedup.verified_pairs(dedup.candidate_pairs(new, base, 0.75), of, 0.75).collect()}
+    whole = found(rows, rows.withColumn("old", F.lit(False)))
+    assert whole == wanted and len(wanted) > 200
+    late = rows.where("batch = 2")
+    assert found(late, rows.withColumn("old", F.col("batch") < 2)) == {(a, b) for a, b in wanted if b % 3 == 2}
+    assert dedup.blocks_of([(1, 9), (2, 3), (5, 9), (6, 1)], 20) == [(1, 2, 1), (5, 5, 3), (6, 6, 1)]
+
+
 def test_words_of_few_texts_are_sent_and_not_shuffled_with_the_pairs(spark, monkeypatch):
     df = spark.createDataFrame(near_copies(), "id long, batch long, text string")
     rows = dedup.cut(dedup.fingerprints(df))
