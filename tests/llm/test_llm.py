@@ -5,6 +5,7 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pytest
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 from quern.llm import boilerplate, capping, dedup, encoding, language, leakage, lines, mixing, quality, subjects
@@ -483,3 +484,33 @@ def test_words_of_few_texts_are_sent_and_not_shuffled_with_the_pairs(spark, monk
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len({frozenset(x) for x in found.values()}) == 1 and len(found[0]) > 20
+
+
+def test_blocks_are_dropped_from_the_driver(spark, monkeypatch):
+    """At most half as many blocks at once as tasks run, none of which is left; the work of both checks of a pair is that of the plain functions."""
+    r = random.Random(5)
+    texts = [(k, k % 3, " ".join(f"w{r.randrange(60)}" for _ in range(20 + k % 9))) for k in range(300)]
+    alive, most = set(), []
+    sc, send, destroy = spark.sparkContext, type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def sent(self, value):
+        out = send(self, value)
+        alive.add(id(out))
+        most.append(len(alive))
+        return out
+
+    monkeypatch.setattr(type(sc), "broadcast", sent)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (alive.discard(id(self)), destroy(self, *a))[1])
+    monkeypatch.setattr(dedup, "BLOCK", 600)
+    rows = dedup.cut(dedup.fingerprints(spark.createDataFrame(texts, "id long, batch long, text string")))
+    dedup.candidate_pairs(rows, rows.withColumn("old", F.lit(False)), 0.75)
+    assert len(most) > 5 and max(most) <= sc.defaultParallelism // 2 and not alive
+
+    for wide in (False, True):
+        for _ in range(60):
+            a = [r.randrange(4) for _ in range(r.randrange(1, 40))]
+            b = [r.choice(a) if r.random() < 0.2 else w for w in a][: r.randrange(1, 41)]
+            x, y = (np.array(v, dtype=np.uint64) for v in (a, b))
+            assert dedup.window_share(x, y, wide) == dedup.shared_share(a, b, wide)
+            if len(a) == len(b):
+                assert dedup.window_share(y, x, wide) == dedup.shared_share(b, a, wide)
